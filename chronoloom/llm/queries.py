@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import exact_dedup, packing, pieces, sharding, tokens
+from chronoloom.llm import exact_dedup, packing, pieces, quality, sharding, tokens, toxicity
 from chronoloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,12 +47,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
