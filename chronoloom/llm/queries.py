@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import exact_dedup, packing, pieces, quality, sharding, tokens, toxicity
+from chronoloom.llm import exact_dedup, neighbours, packing, pieces, quality, sharding, tokens, toxicity
 from chronoloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_token_files": op2_token_files,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {
