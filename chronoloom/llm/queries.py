@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import exact_dedup, neighbours, packing, pieces, quality, sharding, tokens, toxicity
+from chronoloom.llm import exact_dedup, near_dedup, neighbours, packing, pieces, quality, sharding, tokens, toxicity
 from chronoloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words_each=2, per_cent=80)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
