@@ -9,8 +9,9 @@ is missed with a probability of about 3e-6.) Links are confirmed on the full shi
 
 Groups are joined without all their pairs: documents with equal sets form a class with one representative; in a bucket of
 the index every representative is first compared with the bucket's smallest; confirmed links are contracted into
-components; then, and only in buckets that still span several components, the pairs across components are compared block
-by block. What a comparison within a component could add is nothing, so no link between components is lost.
+components; then, and only for buckets that still span several components, blocks of representatives that share such a
+bucket are compared whole, by counting shared shingles, and only links leave the comparison. What a comparison within a
+component could add is nothing, so no link between components is lost, and no list of all pairs is ever made.
 
 Defined results: words are runs of bytes other than space and tab to carriage return, after A-Z are lower-cased; a text
 of fewer words than a shingle takes is one shingle; null, empty and blank texts have an empty set and are linked with
@@ -36,7 +37,8 @@ CHUNKS, CHUNK_SYMBOLS = 12, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: A pair at similarity 0.8 differs in more symbols than this with a probability of about 3e-5.
 MOST_DIFFERENT = 29
-BLOCK = 256
+#: Representatives that one task compares with as many others at once.
+BLOCK = 2048
 TABLE_WORDS = 1_000_000
 #: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -191,37 +193,99 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words_each: int, per_cent: int)
     return pairs.join(two, "b").join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long")
 
 
-def _across(members: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of different components that share a bucket, block against block; members has key, rep, lead, n, component."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        members.join(reps.select("rep", "n_shingles", "signature"), "rep")
-        .withColumn("own", F.pmod(F.xxhash64("rep", "key"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n_shingles", "signature"
-        )
-    )
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """rep and block of every representative in buckets (key, rep, lead) that span components.
+
+    Representatives that share their smallest leader lie together, in as many blocks as their number takes, so the pairs
+    of blocks that share a bucket are few.
+    """
+    near = mixed.groupBy("rep").agg(F.min("lead").alias("near"))
+    sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = near.join(sizes, "near")
+    return dealt.select("rep", F.xxhash64("near", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+
+
+def _block_pairs(mixed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """i and j (i <= j) of every two blocks that share a bucket."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = set()
+            for held in batch.column(0).to_pylist():
+                held.sort()
+                new.update((x, y) for k, x in enumerate(held) for y in held[k:])
+            new -= seen
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen |= new
+            if new:
+                i, j = zip(*new, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["i", "j"])
+
+    spans = mixed.join(blocks, "rep").groupBy("key").agg(F.collect_set("block").alias("held")).select("held").distinct()
+    return spans.mapInArrow(pairs, "i long, j long").distinct()
+
+
+def _short_sets(reps: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+    """rep and the low 32 bits of its shingles (binary): a set that can only overstate what two sets share."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words_each).astype(np.uint32).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
+    return texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(short, "rep long, shingles binary")
+
+
+def _across(block_pairs: DataFrame, held: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of different components, block against block, that share enough by their short sets.
+
+    held has block, rep, component, n_shingles and shingles. Only pairs that pass are put out. For each member of the one
+    block, the postings of its shingles in the other count what it shares with every member there.
+    """
+    rows = held.select("block", "rep", "component", "n_shingles", "shingles")
+    sides = [
+        block_pairs.join(rows.withColumnRenamed("block", side), side).select("i", "j", F.lit(side == "i").alias("left"), "rep", "component", "n_shingles", "shingles")
+        for side in ("i", "j")
+    ]
+    dealt = sides[0].union(sides[1].where("i <> j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
-            own, rep, component, size = (rows[k].to_numpy() for k in (3, 4, 5, 6))
-            signs = np.frombuffer(b"".join(rows[7].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            i, j = rows[1][0].as_py(), rows[2][0].as_py()
-            left = np.flatnonzero(own == i)
-            right = np.flatnonzero(own == j)
-            out_a, out_b = [], []
-            for x in left:
-                y = right[(component[right] != component[x]) & (rep[right] > rep[x] if i == j else True)]
-                y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * per_cent]
-                y = y[(signs[y] != signs[x]).sum(1) <= MOST_DIFFERENT]
-                out_a.append(np.minimum(rep[x], rep[y]))
-                out_b.append(np.maximum(rep[x], rep[y]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
+        for cols in _groups(batches, 2):
+            left = cols[2].to_numpy(zero_copy_only=False)
+            rep, component, size = (cols[k].to_numpy() for k in (3, 4, 5))
+            sets = [np.frombuffer(x, np.uint32) for x in cols[6].to_pylist()]
+            xs = np.flatnonzero(left)
+            ys = np.flatnonzero(~left) if not left.all() else xs
+            if len(np.unique(component[np.union1d(xs, ys)])) == 1:
+                continue
+            owner = np.repeat(np.arange(len(ys)), [len(sets[y]) for y in ys])
+            flat = np.concatenate([sets[y] for y in ys])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            out = []
+            for x in xs:
+                low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+                n = high - low
+                some = n > 0
+                if not some.any():
+                    continue
+                first, n = low[some], n[some]
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(ys))
+                near = (component[ys] != component[x]) & (100 * shared >= per_cent * (size[ys] + size[x] - shared))
+                for y in ys[near]:
+                    if left.all() and rep[y] < rep[x]:
+                        continue  # the pair is met from its other member
+                    out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[pa.Array]]:
@@ -263,23 +327,23 @@ def near_groups(docs: DataFrame, words_each: int = 5, per_cent: int = 80) -> Dat
     links = materialize(_confirm(tried, docs, words_each, per_cent), "star-links")
     found = materialize(connected_components(links), "star-components")
 
-    placed = (
+    placed = materialize(
         members.where("n > 2")
         .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
+        .select("key", "rep", "lead", F.coalesce("component", "rep").alias("component")),
+        "placed",
     )
-    placed = materialize(placed, "placed")
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("content"), F.count(F.lit(1)).alias("m"))
-        .where("x != y")
-        .groupBy("content", "m")  # buckets with the same members are compared once
-        .agg(F.min("key").alias("key"))
-        .select("key")
+    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    mixed = materialize(placed.join(materialize(spans, "mixed-keys"), "key", "left_semi"), "mixed")
+    blocks = materialize(_blocks(mixed), "blocks")
+    block_pairs = materialize(_block_pairs(mixed, blocks), "block-pairs")
+    held = (
+        blocks.join(mixed.select("rep", "component").distinct(), "rep")
+        .join(reps.select("rep", "n_shingles"), "rep")
+        .join(_short_sets(blocks.select("rep"), docs, words_each), "rep")
     )
-    across = _across(placed.join(materialize(mixed, "mixed"), "key", "left_semi"), reps, per_cent)
-    fresh = materialize(across.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(_confirm(fresh, docs, words_each, per_cent), "cross-links")
+    across = materialize(_across(block_pairs, materialize(held, "short-sets"), per_cent), "cross-pairs")
+    more = materialize(_confirm(across, docs, words_each, per_cent), "cross-links")
     whole = found if more.isEmpty() else materialize(connected_components(links.union(more)), "whole-components")
 
     by_class = classes.join(whole, classes.rep == whole.node, "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
