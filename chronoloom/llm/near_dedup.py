@@ -22,7 +22,6 @@ table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,6 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 MOST_DIFFERENT = 29
 #: Representatives that one task compares with as many others at once.
 BLOCK = 2048
-TABLE_WORDS = 1_000_000
 #: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -51,21 +49,6 @@ _VARIANTS = _RNG.integers(0, 1 << 63, (CHUNKS, CHUNK_SYMBOLS), np.uint64)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordTable(dict):
-    """Hash of each word seen; emptied when it is full, which changes no hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_table() -> WordTable:
-    return WordTable()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -74,11 +57,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str, words_each: int) -> np.ndarray:
     """The distinct shingles of a text, hashed to 64 bits, ascending."""
-    table = word_table()
     words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes, both know ASCII alone
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([table[w] for w in words], np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     k = min(words_each, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):

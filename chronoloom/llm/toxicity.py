@@ -15,7 +15,6 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,13 +27,12 @@ from chronoloom.llm.common import materialize, text_or_empty
 from chronoloom.llm.labelled import labelled_sample, remainder
 
 BITS = 20
-MAX_ROWS = 20_000
+MAX_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 TOXIC_WEIGHT = 3.0  # toxic rows are few, and missing one costs more
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-TABLE_WORDS = 1_000_000
 BIAS = 1 << BITS
 
 _TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -42,26 +40,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-class WordTable(dict):
-    """Hash of each word seen; emptied when it is full, which changes no hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_table() -> WordTable:
-    return WordTable()
-
-
 def places(text: str) -> np.ndarray:
     """The places of a text's features, in no order and with repeats."""
-    table = word_table()
     words = text.lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
-    h = np.array([table[w] for w in words], np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     found = [h * _MIX]
     for gap in (1, 2, 3):  # neighbours, and pairs with one and two words between
         if len(h) > gap:
