@@ -17,7 +17,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import text_or_empty
+from chronoloom.llm.common import materialize, text_or_empty
 
 N_SALTS = 32
 
@@ -56,7 +56,8 @@ def copy_groups(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
 def mark_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept and text_sha256.
 
-    Only id and digest are joined with the groups, and the join's hot partitions may be split.
+    Only id and digest are joined with the groups. The groups are written first, so that both sides of the join come
+    straight from an exchange and the partition of a hot digest may be split.
     """
     narrow = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(content_column(), 256)).alias("digest"))
@@ -64,7 +65,7 @@ def mark_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     )
     return (
-        narrow.join(copy_groups(docs, n_salts), "digest")
+        narrow.join(materialize(copy_groups(docs, n_salts), "copy-groups"), "digest")
         .select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
         .select(
             "doc_id",
