@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import materialize, text_or_empty
 
 N_SALTS = 32
+#: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def content_column(column: str = "text"):
@@ -78,8 +80,28 @@ def mark_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
-    """The rows that stay, with all their columns and whole original texts."""
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(content_column(), 256)))
-    keep = copy_groups(docs, n_salts).select(F.col("digest").alias("__d"), F.col("keep_id").alias("__k"))
-    matched = (F.col("__digest") == F.col("__d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__k"))
-    return marked.join(keep, matched, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    """The rows that stay, with all their columns and whole original texts.
+
+    Whole rows are not shuffled: the ids of rows that go are a narrow table, broadcast where it is counted to be small and
+    joined by a shuffle beyond. Rows without an id, or whose id stands for several rows, take a way of their own, by id
+    and digest.
+    """
+    marked = materialize(mark_copies(docs, n_salts), "marked-copies")
+    several = F.col("doc_id").isNull() | (F.col("_n") > 1)
+    odd = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(several).select(F.col("doc_id").alias("__id"))
+    odd = materialize(odd, "odd-ids")
+    gone = marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
+    gone = materialize(gone, "gone-ids")
+    own = F.col("doc_id").cast("long")
+    if odd.isEmpty():
+        return docs.join(_listed(gone), own == F.col("__id"), "left_anti")
+    plain = docs.where(own.isNotNull()).join(_listed(gone.union(odd.where("__id IS NOT NULL")).distinct()), own == F.col("__id"), "left_anti")
+    rest = docs.join(odd, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__digest", F.sha2(content_column(), 256))
+    keep = marked.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__d"))
+    match = (F.col("__digest") == F.col("__d")) & own.eqNullSafe(F.col("__id"))
+    return plain.unionByName(rest.join(keep, match, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast, when they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
