@@ -87,7 +87,7 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
     # the distinct values of one categorical column, a few thousands at most, are ranked in one task
-    return values.select("value", F.row_number().over(Window.orderBy("value")).alias("code"))
+    return values.select("value", F.row_number().over(Window.orderBy("value")).cast("int").alias("code"))
 
 
 def encode_category(column, codes: dict[str, int]):
