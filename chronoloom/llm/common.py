@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by Spark's own reader so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-    return _FALLBACK[app]
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/chronoloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
+from chronoloom.sources.tables import table
+from chronoloom.sources.workspace import materialize, shared_dir, work_path
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "shared_dir", "table", "text_or_empty", "work_path"]
 
 
 def text_or_empty(column: str = "text"):
