@@ -38,7 +38,7 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: A pair at similarity 0.8 differs in more symbols than this with a probability of about 3e-5.
 MOST_DIFFERENT = 29
 #: Representatives that one task compares with as many others at once.
-BLOCK = 2048
+BLOCK = 1024
 #: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
