@@ -26,7 +26,7 @@ from chronoloom.llm.common import text_or_empty
 from chronoloom.llm.html_blocks import Block, blocks
 from chronoloom.llm.html_labels import ROLE_WORDS, labelled_pages
 
-N_PAGES = 500
+N_PAGES = 700
 _WORD_ROLE = {w: role for role, words in ROLE_WORDS.items() for w in words}
 _SPLIT = re.compile(r"[^a-z]+")
 _SECTIONS = frozenset("article main nav header footer aside form section dialog".split())
@@ -48,17 +48,20 @@ def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
                     out.add(f"says={_WORD_ROLE[w]}")
                 elif len(w) > 2:
                     out.add(f"word={w}")
-    out.add(f"nearest={nearest}")
+    own = path[-1][0] if path else ""
+    out |= {f"nearest={nearest}", f"{nearest}/{own}"}
     return tuple(sorted(out))
 
 
 def features(b: Block, place: int, n: int) -> list[str]:
     words = b.text.count(" ") + 1
     linked = b.link_chars / max(1, len(b.text))
+    links = f"linked={int(linked > 0.1) + int(linked > 0.6)}"
     return [
         *path_features(b.path),
         f"words={min(6, words.bit_length())}",
-        f"linked={int(linked > 0.1) + int(linked > 0.6)}",
+        links,
+        f"{b.path[-1][0] if b.path else ''}/{links}",
         "ends" if b.text[-1] in ".!?:\"'" else "no-end",
         "first" if place == 0 else "last" if place == n - 1 else "inner",
     ]

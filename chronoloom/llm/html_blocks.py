@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 #: Fixed sets of element names, as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without text that do not end a block.
+WITHIN = frozenset("area embed img input link meta param source track".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -98,6 +100,8 @@ def blocks(page: str) -> list[Block]:
                 inline = [x for x in inline if x != "a"]
             inline.append(name)
             continue
+        if name in WITHIN:
+            continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":

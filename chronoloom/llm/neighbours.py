@@ -59,14 +59,14 @@ class KdTree:
         while stack:
             rows = stack.pop()
             spread = points[rows].max(0) - points[rows].min(0)
-            if len(rows) <= leaf_rows or not spread.any():
-                for k in range(0, len(rows), leaf_rows):  # equal points need no split by value
-                    order.append(rows[k : k + leaf_rows])
-                    bounds.append(bounds[-1] + len(order[-1]))
+            if len(rows) <= leaf_rows or not spread.any():  # equal points stay in one leaf, so that their ties are seen together
+                order.append(rows)
+                bounds.append(bounds[-1] + len(rows))
                 continue
-            half = len(rows) // 2
-            rows = rows[np.argpartition(points[rows, spread.argmax()], half)]
-            stack += [rows[half:], rows[:half]]
+            along = points[rows, spread.argmax()]
+            cut = np.partition(along, len(rows) // 2)[len(rows) // 2]
+            low = along < cut if (along < cut).any() else along <= cut  # never between equal values
+            stack += [rows[~low], rows[low]]
         self.order = np.concatenate(order)
         self.bounds = np.array(bounds)
         sorted_points = points[self.order]
