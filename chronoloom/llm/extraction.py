@@ -29,27 +29,25 @@ from chronoloom.llm.html_labels import ROLE_WORDS, labelled_pages
 N_PAGES = 700
 _WORD_ROLE = {w: role for role, words in ROLE_WORDS.items() for w in words}
 _SPLIT = re.compile(r"[^a-z]+")
-_SECTIONS = frozenset("article main nav header footer aside form section dialog".split())
+_TAG_ROLE = {"article": "main", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "notice"}
 
 
 @lru_cache(maxsize=20_000)
 def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
     """Features of the elements around a block."""
-    out = {"bias", f"own={path[-1][0] if path else ''}", f"parent={path[-2][0] if len(path) > 1 else ''}"}
-    nearest = ""
+    own = path[-1][0] if path else ""
+    out = {"bias", f"own={own}", f"parent={path[-2][0] if len(path) > 1 else ''}"}
+    roles = ["none", "none"]
     for name, said in path:
-        if name in _SECTIONS:
+        found = {_WORD_ROLE[w] for w in {*said.split(), *_SPLIT.split(said)} if w in _WORD_ROLE} if said else set()
+        out |= {f"says={x}" for x in found}
+        if name in _TAG_ROLE:
             out.add(f"in={name}")
-            nearest = name
-        if said:
-            whole = said.split()
-            for w in {*whole, *_SPLIT.split(said)}:
-                if w in _WORD_ROLE:
-                    out.add(f"says={_WORD_ROLE[w]}")
-                elif len(w) > 2:
-                    out.add(f"word={w}")
-    own = path[-1][0] if path else ""
-    out |= {f"nearest={nearest}", f"{nearest}/{own}"}
+        # what an element's words say goes before its name, and that it is other than main text before that it is
+        role = min(found - {"main"}, default="main" if found else _TAG_ROLE.get(name))
+        if role:
+            roles.append(role)
+    out |= {f"role={roles[-1]}", f"roles={roles[-2]}>{roles[-1]}", f"{roles[-1]}/{own}"}
     return tuple(sorted(out))
 
 

@@ -11,23 +11,23 @@ import random
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo za sch ción eau thing the of and tion".split()
 #: Words that class and id attributes use, by the role of their element.
 ROLE_WORDS = {
-    "nav": "nav menu navbar main-menu breadcrumb breadcrumbs site-nav topnav pagination tabs toc".split(),
+    "nav": "nav navigation menu navbar main-menu breadcrumb breadcrumbs site-nav topnav pagination tabs toc".split(),
     "header": "header site-header masthead banner topbar page-header branding".split(),
-    "footer": "footer site-footer copyright colophon legal bottom page-footer".split(),
-    "aside": "sidebar aside widget related recommended popular trending side rail more-stories".split(),
+    "footer": "footer contentinfo site-footer copyright colophon legal bottom page-footer".split(),
+    "aside": "sidebar complementary aside widget related recommended popular trending side rail more-stories".split(),
     "ad": "ad ads advert advertisement sponsored promo sponsor banner-ad ad-slot adsbox".split(),
-    "notice": "cookie cookie-notice consent notice alert popup modal newsletter subscribe gdpr paywall banner".split(),
+    "notice": "cookie cookies cookie-notice consent notice alert popup modal overlay newsletter subscribe gdpr paywall banner".split(),
     "form": "form search login signup search-form subscribe-form contact".split(),
     "comments": "comments comment comment-list discussion disqus replies reader-comments responses user-comment".split(),
     "share": "share social share-bar social-links tags meta byline-tools".split(),
-    "main": "content main article post entry story article-body post-content entry-content text page-content body-text".split(),
+    "main": "content main story-body article post entry story article-body post-content entry-content text page-content body-text".split(),
 }
 TAGS = {
     "nav": ["nav", "div", "ul"],
     "header": ["header", "div"],
     "footer": ["footer", "div"],
     "aside": ["aside", "div", "section"],
-    "ad": ["div", "aside", "section", "ins"],
+    "ad": ["div", "aside", "section"],
     "notice": ["div", "section", "aside", "dialog"],
     "form": ["form", "div"],
     "comments": ["section", "div", "aside", "ol"],
@@ -68,7 +68,7 @@ class PageWriter:
         r = self.r
         tag = r.choice(TAGS[role])
         word = r.choice(ROLE_WORDS[role])
-        plain = tag not in ("div", "section", "ul", "ol", "ins") and r.random() < 0.6
+        plain = tag not in ("div", "section", "ul", "ol") and r.random() < 0.6
         if plain:
             said = ""
         elif r.random() < 0.75:
@@ -103,7 +103,7 @@ class PageWriter:
             self.html.append('<input type="text"><button>go</button>')
         else:
             if r.random() < 0.3:
-                self.leaf(r.choice(["h2", "h3", "h4"]), self.words(1, 5), 0)
+                self.leaf(r.choice(["h1", "h1", "h2"] if role == "header" else ["h2", "h3", "h4"]), self.words(1, 5), 0)
             for _ in range(r.randint(1, 3)):
                 bare = len(self.html[-1]) and r.random() < 0.4
                 self.leaf("div" if bare else "p", self.words(2, 30), 0, link=r.random() < 0.3)
@@ -112,9 +112,12 @@ class PageWriter:
     def body(self) -> None:
         """The main text, at times with other parts within it."""
         r = self.r
-        wraps = [self.open("main") for _ in range(r.choice([1, 1, 1, 2, 3]))]
+        wraps = [self.open("main") for _ in range(r.choice([0, 1, 1, 1, 1, 1, 2, 3]))]
         if r.random() < 0.85:
+            within = wraps and r.random() < 0.2  # a header of the article, not of the page
+            self.html.append("<header>" if within else "")
             self.leaf("h1", self.words(1, 14), 1)
+            self.html.append("</header>" if within else "")
         for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
             kind = r.random()
             if kind < 0.72:
@@ -132,7 +135,16 @@ class PageWriter:
                 self.html.append("</blockquote>")
             elif kind < 0.92:
                 self.leaf("pre", self.words(3, 20), 1)
-            elif kind < 0.94:
+            elif kind < 0.93:
+                role = r.choice(["ad", "notice", "share", "aside"])
+                self.html.append(f'<p class="{r.choice(ROLE_WORDS[role])}">')
+                self.leaf("", self.words(2, 20), 0)
+                self.html.append("</p>")
+            elif kind < 0.935:
+                self.html.append("<figure><img src=x>")
+                self.leaf("figcaption", self.words(2, 12), 1)
+                self.html.append("</figure>")
+            elif kind < 0.95:
                 self.html.append("<table><tr>")
                 for _ in range(3):
                     self.leaf("td", self.words(1, 4), 1)
