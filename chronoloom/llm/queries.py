@@ -91,4 +91,22 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY content) AS kept,
                sha256(content) AS text_sha256
         FROM t""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE t AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                              ELSE w END AS shingles FROM t),
+        n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+          SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b
+          WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+        component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN component USING (doc_id)""",
 }

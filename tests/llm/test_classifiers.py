@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from chronoloom.llm import labelled, quality, toxicity
-from conftest import prose
+from llm_helpers import prose
 from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from chronoloom.llm import exact_dedup, near_dedup, queries, sharding
 from chronoloom.llm.common import work_path
-from conftest import prose
+from llm_helpers import prose
 from pyspark.sql import functions as F
 
 from helpers import same_rows
@@ -176,6 +176,7 @@ def test_signature_agreement_estimates_similarity():
 
 
 def test_op6_on_the_smallest_table(spark, sf_dir):
+    same_rows(queries.op6_near_dedup(spark, sf_dir), queries.ORACLES["op6_near_dedup"], sf_dir)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = queries.op6_near_dedup(spark, sf_dir).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_groups(rows, 2, 80)
