@@ -81,6 +81,11 @@ def infer_fields(records: DataFrame) -> DataFrame:
     return records.groupBy("field").agg(F.when(numeric, "numeric").otherwise("categorical").alias("kind"), values.alias("values"))
 
 
+def numeric_fields(df: DataFrame, *others: str) -> list[str]:
+    """Columns that hold numbers, without the named ones."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in others]
+
+
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value of a column with its code: 1 and up in order; missing is 0."""
     from pyspark.sql import Window

@@ -371,6 +371,13 @@ def worst_blocks(blocks: DataFrame, most: int = 10) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def write_report(blocks: DataFrame, path: str, run_id: str, probe_every: int = 4) -> None:
+    """The sidecar report as JSON lines: kind (segment or worst_block), run_id and the row."""
+    segments = chm_segments(blocks, probe_every).select(F.lit("segment").alias("kind"), F.to_json(F.struct("*")).alias("row"))
+    worst = worst_blocks(blocks.select("stream", "block", "ratio", "unique_ratio")).select(F.lit("worst_block").alias("kind"), F.to_json(F.struct("*")).alias("row"))
+    segments.unionByName(worst).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").json(path)
+
+
 # Storage parameters
 
 QUICK = [(level, rows) for level in (1, 3, 6) for rows in (1000, 4000)]

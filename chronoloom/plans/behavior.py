@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import behavior, signals
+from chronoloom.operators import behavior, persistence, signals
 from chronoloom.plans.registry import WRITES_SQL, query
 from chronoloom.sources.tables import event_writes
 
@@ -86,6 +86,15 @@ def insights_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_key", "last_ts", "write_count")
 
 
+@query(BEHAVIOR_SQL + f"SELECT '_insight/behavior/' || item_key AS key, write_count, round(velocity, 4) AS velocity, {LIFECYCLE_SQL} AS lifecycle FROM b")
+def insight_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _behavior(spark, sf_dir)
+    records = persistence.to_records(found, "behavior")
+    back = persistence.from_records(records, "behavior", found)  # what is written comes back whole
+    named = F.concat(F.lit("_insight/behavior/"), F.col("item_key")).alias("key")
+    return back.select(named, "write_count", F.round("velocity", 4).alias("velocity"), "lifecycle")
+
+
 HISTORY_SQL = f"""
 WITH {WRITES_SQL}
 x AS (SELECT item_key, ts, seq, 'value' AS field, value AS x FROM w WHERE value IS NOT NULL

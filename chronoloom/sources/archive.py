@@ -62,8 +62,8 @@ class Archive:
         self.manifest = Manifest(spark, self.path)
         self.sealed = False
 
-    def append(self, rows: DataFrame, snapshots: DataFrame | None = None, level: int = 3, rows_per_file: int = 5_000_000) -> int:
-        """Add a batch, chained to what is there; returns the manifest's version. snapshots adds those without items.
+    def append(self, rows: DataFrame, snapshots: DataFrame | None = None, level: int = 3, rows_per_file: int = 5_000_000, part: str | None = None) -> int:
+        """Add a batch, chained to what is there; returns the manifest's version. snapshots adds those without items; part names the batch.
 
         The batch is dealt by ranges of item, so an item lies in few files whatever its number of rows.
         """
@@ -71,7 +71,7 @@ class Archive:
             raise ArchiveError("the archive is sealed")
         version = self.manifest.version()
         held = self.manifest.entries()
-        batch = f"batch={version + 1}"
+        batch = f"batch={version + 1 if part is None else part}"
         options = {
             "compression": "zstd",
             "parquet.compression.codec.zstd.level": str(level),
@@ -81,13 +81,14 @@ class Archive:
         }
         laid_out = self._sealed_rows(rows) if self.encryption_key else rows
         order = [self.key, "ts", "snapshot_seq"]
-        laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options).parquet(f"{self.path}/data/{batch}")
+        ordered = laid_out.repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered.write.mode("overwrite").options(**options).parquet(f"{self.path}/data/{batch}")
         times = snapshots if snapshots is not None else snapshot_table(rows)
-        times.select("snapshot_seq", "ts", "n_items").sortWithinPartitions("snapshot_seq").write.options(compression="zstd").parquet(f"{self.path}/snapshots/{batch}")
+        times.select("snapshot_seq", "ts", "n_items").sortWithinPartitions("snapshot_seq").write.mode("overwrite").options(compression="zstd").parquet(f"{self.path}/snapshots/{batch}")
         new = []
-        for part in ("data", "snapshots"):
-            found = file_digests(self.spark, f"{self.path}/{part}/{batch}").orderBy("file").collect()  # a row a file
-            new += [(f"{part}/{batch}/{r['file']}", r["bytes"], r["sha256"]) for r in found]
+        for kind in ("data", "snapshots"):
+            found = file_digests(self.spark, f"{self.path}/{kind}/{batch}").orderBy("file").collect()  # a row a file
+            new += [(f"{kind}/{batch}/{r['file']}", r["bytes"], r["sha256"]) for r in found]
         last = held[-1] if held else None
         return self.manifest.commit(held + chain(new, *([last.root, last.seq + 1] if last else [])), version)
 

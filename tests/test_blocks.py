@@ -107,3 +107,11 @@ def test_profile(spark):
 def test_item_major(spark):
     full = spark.createDataFrame([(s, i) for s in range(3) for i in range(4)], "snapshot_seq long, item_id long")
     assert blocks.item_major(full).first().eligible and not blocks.item_major(full.where("NOT (snapshot_seq = 1 AND item_id = 2)")).first().eligible
+
+
+def test_report_file(spark, tmp_path):
+    rows = [("x", k, 0.2, 0.2, 2.0 if k < 5 else 0.5) for k in range(8)]
+    df = spark.createDataFrame(rows, "stream string, block long, unique_ratio double, unique_delta_ratio double, ratio double")
+    blocks.write_report(df, f"{tmp_path}/report", "run-1")
+    found = spark.read.json(f"{tmp_path}/report")
+    assert {(r.kind, r["count"]) for r in found.groupBy("kind").count().collect()} == {("segment", 1), ("worst_block", 8)} and found.first().run_id == "run-1"

@@ -46,3 +46,36 @@ def test_reads_change_lifecycle(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/updates").orderBy("seq").collect()
     assert [r.lifecycle for r in found] == ["emerging", "dormant", "dead", "resurrected"]
     assert found[2].access_frequency == pytest.approx(0.35 * 3_600_000 / (23 * day) + 0.65 * 0.35)
+
+
+def test_archive_sink_appends_each_batch_once(spark, tmp_path):
+    from chronoloom.sources.archive import Archive
+    from chronoloom.streaming.sinks import archive_sink
+
+    schema = "snapshot_seq long, ts long, item_id long, price double, quantity double"
+    a = Archive(spark, f"file://{tmp_path}/archive")
+    for part in range(2):
+        spark.createDataFrame([(part, part, i, 1.0 * i, 2.0) for i in range(5)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        rows.writeStream.foreachBatch(archive_sink(a, "s")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    archive_sink(a, "s")(spark.createDataFrame([(9, 9, 9, 9.0, 9.0)], schema), 0)
+    assert a.rows().count() == 10 and a.verify() and a.manifest.version() == 1
+
+
+def test_cross_item_sink_reports_changes(spark, tmp_path):
+    from chronoloom.streaming.sinks import CrossItemSink
+
+    seen = []
+    subs = streams.Subscriptions()
+    subs.subscribe(["correlation_discovered", "cluster_formed", "cluster_dissolved"], seen.append)
+    sink = CrossItemSink(spark, f"file://{tmp_path}/cross", subs)
+    schema = "item_key string, ts long, seq long, signal double"
+    ramp = lambda k, start, f: [(k, 1000 * i, i, float(f(i))) for i in range(start, start + 12)]
+    sink(spark.createDataFrame(ramp("a", 0, lambda i: 2 * i) + ramp("b", 0, lambda i: 3 * i + i % 2), schema), 0)
+    assert sorted(e["type"] for e in seen) == ["cluster_formed", "correlation_discovered"]
+    seen.clear()
+    sink(spark.createDataFrame(ramp("c", 0, lambda i: 5 * i + i % 3), schema), 1)
+    assert sorted((e["type"], e["item_key"]) for e in seen) == [
+        ("cluster_dissolved", "cluster_a|b"), ("cluster_formed", "cluster_a|b|c"), ("correlation_discovered", "a|c"), ("correlation_discovered", "b|c"),
+    ]
+    assert spark.read.parquet(f"{tmp_path}/cross/pairs/batch=1").count() == 3
