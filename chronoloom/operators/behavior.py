@@ -152,11 +152,12 @@ def _trend_columns() -> list[Column]:
     ]
 
 
-def running_ema(rows: DataFrame, group: list[str], value: str, alpha: float, name: str) -> DataFrame:
+def running_ema(rows: DataFrame, group: list[str], value: str, alpha: float, name: str, dealt: bool = False) -> DataFrame:
     """rows with the exponential average of value up to each row, in (ts, seq) order within group.
 
     A recurrence that no window function expresses: rows are dealt and sorted by group, and one pass over Arrow batches
-    carries a single number, so a long series needs no more memory than a short one.
+    carries a single number, so a long series needs no more memory than a short one. With dealt, rows come straight from
+    windows over the same group and order: they lie together already, and the sort below is found redundant.
     """
     kinds = dict(rows.dtypes)
     columns = rows.columns
@@ -175,32 +176,32 @@ def running_ema(rows: DataFrame, group: list[str], value: str, alpha: float, nam
                 out.append(held)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*columns, name])
 
-    return rows.repartition(*group).sortWithinPartitions(*group, "ts", "seq").mapInArrow(scan, schema)
+    together = rows if dealt else rows.repartition(*group)
+    return together.sortWithinPartitions(*group, "ts", "seq").mapInArrow(scan, schema)
 
 
 def trend_history(writes: DataFrame, fields: list[str], key: str = "item_key") -> DataFrame:
     """The field trends after each write: key, field, ts, seq, n, last, ema, min, max, z_score, direction, magnitude."""
     both = [key, "field"]
     upto = Window.partitionBy(*both).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    averaged = running_ema(long_fields(writes, fields, key), both, "x", TREND_ALPHA, "ema")
-    rows = averaged.select(
+    rows = long_fields(writes, fields, key).select(
         *both,
         "ts",
         "seq",
         F.count(F.lit(1)).over(upto).alias("n"),
         F.col("x").alias("last"),
-        "ema",
         F.min("x").over(upto).alias("min"),
         F.max("x").over(upto).alias("max"),
         F.avg("x").over(upto).alias("_mean"),
         F.stddev_samp("x").over(upto).alias("_sd"),
     )
-    return rows.select(*both, "ts", "seq", "n", "last", "ema", "min", "max", *_trend_columns())
+    averaged = running_ema(rows, both, "last", TREND_ALPHA, "ema", dealt=True)
+    return averaged.select(*both, "ts", "seq", "n", "last", "ema", "min", "max", *_trend_columns())
 
 
 def write_history(writes: DataFrame, key: str = "item_key") -> DataFrame:
     """velocity and lifecycle after each write: key, ts, seq, place, dt, velocity, lifecycle."""
-    rows = running_ema(with_gaps(writes.select(key, "ts", "seq"), key), [key], "rate", VELOCITY_ALPHA, "velocity")
+    rows = running_ema(with_gaps(writes.select(key, "ts", "seq"), key), [key], "rate", VELOCITY_ALPHA, "velocity", dealt=True)
     state = (
         F.when(F.col("place") == 1, "emerging")
         .when(F.col("dt") > DEAD_MS, "resurrected")

@@ -10,6 +10,8 @@ from chronoloom.plans.registry import WRITES_SQL, query
 from chronoloom.sources.tables import event_writes
 
 FIELDS = ["value", "k"]
+#: Averages of short decimals often lie exactly between two roundings; a nudge on both sides makes the last bit not matter.
+NUDGE = 1e-10
 #: A moment ten days after the first event: some items have been silent since.
 AS_OF = 1_704_067_200_000 + 100 * 86_400_000
 
@@ -110,11 +112,11 @@ h AS (SELECT item_key, field, ts, seq, n, last, ema, lo AS min, hi AS max,
       FROM r),
 f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_key, field ORDER BY ts DESC, seq DESC) = 1)
 """
-TREND_COLUMNS = "n, last, round(ema, 6) AS ema, min, max, round(z_score, 6) AS z_score, direction, round(magnitude, 6) AS magnitude"
+TREND_COLUMNS = "n, last, round(ema + 1e-10, 6) AS ema, min, max, round(z_score + 1e-10, 6) AS z_score, direction, round(magnitude + 1e-10, 6) AS magnitude"
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, 6) for c in columns})
 
 
 @query(HISTORY_SQL + f"SELECT item_key, field, {TREND_COLUMNS} FROM f")
@@ -132,7 +134,7 @@ SEVERITY_SQL = "CASE WHEN abs(z_score) >= 4 THEN 'critical' WHEN abs(z_score) >=
 
 @query(
     HISTORY_SQL
-    + f"""SELECT item_key, field, ts, seq, round(ema, 6) AS expected, last AS actual, round(z_score, 6) AS z_score, {SEVERITY_SQL} AS severity
+    + f"""SELECT item_key, field, ts, seq, round(ema + 1e-10, 6) AS expected, last AS actual, round(z_score + 1e-10, 6) AS z_score, {SEVERITY_SQL} AS severity
       FROM h WHERE abs(z_score) >= 2"""
 )
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +144,7 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     HISTORY_SQL
-    + """SELECT item_key, field, seq, 'alert' AS type, round(least(1, abs(z_score) / 5), 6) AS confidence, ts + 86400000 AS expires_at
+    + """SELECT item_key, field, seq, 'alert' AS type, round(least(1, abs(z_score) / 5) + 1e-10, 6) AS confidence, ts + 86400000 AS expires_at
       FROM h WHERE abs(z_score) >= 2"""
 )
 def anomaly_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +154,9 @@ def anomaly_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     HISTORY_SQL
-    + """SELECT item_key, field, round(ema, 6) AS current_value,
-      round(ema + CASE direction WHEN 'up' THEN magnitude WHEN 'down' THEN -magnitude ELSE 0 END * (max - min) * 5, 6) AS projected_value,
-      5 AS horizon, round(CASE WHEN max <> min THEN 0.8 ELSE 0.3 END * exp(-0.5), 6) AS confidence, 'ema' AS basis FROM f"""
+    + """SELECT item_key, field, round(ema + 1e-10, 6) AS current_value,
+      round(ema + CASE direction WHEN 'up' THEN magnitude WHEN 'down' THEN -magnitude ELSE 0 END * (max - min) * 5 + 1e-10, 6) AS projected_value,
+      5 AS horizon, round(CASE WHEN max <> min THEN 0.8 ELSE 0.3 END * exp(-0.5) + 1e-10, 6) AS confidence, 'ema' AS basis FROM f"""
 )
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     trends = behavior.field_trends(event_writes(spark, sf_dir), FIELDS)
@@ -164,10 +166,10 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECOMMEND_SQL = (
     BEHAVIOR_SQL
     + f""", s AS (SELECT *, {LIFECYCLE_SQL} AS lifecycle FROM b)
-SELECT item_key AS target, 'promote' AS type, round(least(1, velocity / 5), 6) AS confidence, 'lifecycle.active' AS basis FROM s WHERE lifecycle = 'active' AND velocity > 2
-UNION ALL SELECT item_key, 'demote', 0.6, 'lifecycle.declining' FROM s WHERE lifecycle = 'declining'
-UNION ALL SELECT item_key, 'investigate', 0.8, 'lifecycle.resurrected' FROM s WHERE lifecycle = 'resurrected'
-UNION ALL SELECT item_key, 'investigate', round(least(1, abs(streak) / 20), 6), 'streak' FROM s WHERE abs(streak) >= 5"""
+SELECT item_key AS target, 'promote' AS type, round(least(1, velocity / 5) + 1e-10, 6) AS confidence, 'lifecycle.active' AS basis FROM s WHERE lifecycle = 'active' AND velocity > 2
+UNION ALL SELECT item_key, 'demote', round(0.6 + 1e-10, 6), 'lifecycle.declining' FROM s WHERE lifecycle = 'declining'
+UNION ALL SELECT item_key, 'investigate', round(0.8 + 1e-10, 6), 'lifecycle.resurrected' FROM s WHERE lifecycle = 'resurrected'
+UNION ALL SELECT item_key, 'investigate', round(least(1, abs(streak) / 20) + 1e-10, 6), 'streak' FROM s WHERE abs(streak) >= 5"""
 )
 
 
