@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.sources.tables import table
 from chronoloom.sources.workspace import materialize, shared_dir, work_path
 
-__all__ = ["materialize", "shared_dir", "table", "text_or_empty", "work_path"]
+__all__ = ["bounded_batches", "materialize", "shared_dir", "table", "text_or_empty", "work_path"]
+
+
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that go to a Python worker at once: so few that whole texts take little memory on both sides.
+
+    A setting of the session, since plans are lazy and read it when they run; a lower one of the user's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def text_or_empty(column: str = "text"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, extraction, near_dedup, neighbours, packing, pieces, quality, sharding, tokens, toxicity
-from chronoloom.llm.common import table
+from chronoloom.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +24,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     read = tokens.token_round_trip(table(spark, sf_dir, "documents"), byte_bpe())
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
@@ -37,6 +39,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     out = pieces.piece_round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
     return out.select(
         "doc_id",
@@ -47,23 +50,28 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words_each=2, per_cent=80)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     out = packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 

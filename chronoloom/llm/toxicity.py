@@ -13,7 +13,7 @@ column are no input of a score.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +55,24 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+class Examples:
+    """Places and label of each example, held in a few large arrays, which memory comes back from when they go."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+
+    def add(self, texts: list[str], labels: list[int]) -> None:
+        found = [np.append(np.unique(places(t)), BIAS).astype(np.int32) for t in texts]
+        if found:
+            self.parts.append((np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]), labels))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        for flat, ends, labels in self.parts:
+            for k, label in enumerate(labels):
+                yield flat[ends[k] : ends[k + 1]], label
+
+
+def ftrl(examples: Iterable[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the weights that are not zero; the bias is at place 2**BITS and bears no L1."""
     z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
@@ -101,10 +118,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     held = materialize(sample.select("text", "label", "order"), "toxicity-sample")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples = Examples()
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                examples.append((np.append(np.unique(places(t.as_py())), BIAS).astype(np.int32), y))
+            examples.add(b.column(0).to_pylist(), b.column(1).to_pylist())
         at, w = ftrl(examples)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
 
