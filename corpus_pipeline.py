@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from chronoloom.llm.common import materialize, table
+from chronoloom.llm.common import bounded_batches, materialize, table
 from chronoloom.llm.queries import byte_bpe
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    bounded_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,11 +32,13 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at similarity 0.8 or more hold together."""
+    bounded_batches(spark)
     return near_dedup.drop_near_copies(docs, words_each=5, per_cent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' ids (ids: little-endian unsigned 32-bit), each in a sequence of its own length."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, byte_bpe())
 
 
