@@ -26,7 +26,7 @@ MARKET_DATA = profile(
     "market_data_v1", 1, _field("item_id", T.LongType()), _field("price", T.DoubleType()), _field("quantity", T.DoubleType())
 )
 TRUST_EVENTS = profile(
-    "gimo_trust_v1",
+    "trust_events_v1",
     1,
     _field("item_key", T.StringType()),
     *[_field(n, T.DoubleType()) for n in ("score", "approvals", "rejections", "failures", "streak")],

@@ -17,18 +17,19 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     live = materialize(both, "links")
-    groups = materialize(live.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    groups = live.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for turn in range(max_rounds):
         if live.isEmpty():
             break
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("v"))
         lowest = live.groupBy("a").agg(F.min(order("b")).alias("m"))
         step = materialize(lowest.select(F.col("a").alias("label"), F.least(order("a"), F.col("m"))["v"].alias("to")), "steps")
-        groups = materialize(groups.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        groups = groups.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         to_a, to_b = (step.select(F.col("label").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         moved = live.join(to_a, "a").join(to_b, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         live = materialize(moved.where("a != b").distinct(), "links")
     else:
         raise RuntimeError("links did not contract")
+    groups = materialize(groups, "labels")
     smallest = groups.groupBy("label").agg(F.min("node").alias("component"))
     return groups.join(materialize(smallest, "components"), "label").select("node", "component")
