@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.sources.tables import table
-from chronoloom.sources.workspace import materialize, shared_dir, work_path
+from chronoloom.sources.workspace import locate, materialize, shared_dir, work_path
 
 __all__ = ["bounded_batches", "materialize", "shared_dir", "table", "text_or_empty", "work_path"]
 
@@ -19,6 +19,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     A setting of the session, since plans are lazy and read it when they run; a lower one of the user's own stays.
     """
+    locate(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
