@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.sources.tables import table
 from chronoloom.sources.workspace import locate, materialize, shared_dir, work_path
 
-__all__ = ["bounded_batches", "materialize", "shared_dir", "table", "text_or_empty", "work_path"]
+__all__ = ["bounded_batches", "free_name", "materialize", "shared_dir", "table", "text_or_empty", "work_path"]
 
 
 BATCH_ROWS = 1000
@@ -28,3 +28,11 @@ def bounded_batches(spark: SparkSession) -> None:
 def text_or_empty(column: str = "text"):
     """The text, with null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df lacks, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

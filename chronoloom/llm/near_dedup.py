@@ -7,16 +7,18 @@ differing symbol, so all pairs within that distance meet if each chunk is indexe
 left out. (Differences fall at random, so pairs well over that distance nearly always meet too: a pair at similarity 0.8
 is missed with a probability of about 3e-6.) Links are confirmed on the full shingle sets, never by signatures.
 
-Groups are joined without all their pairs: documents with equal sets form a class with one representative; in a bucket of
-the index every representative is first compared with the bucket's smallest; confirmed links are contracted into
-components; then, and only for buckets that still span several components, blocks of representatives that share such a
-bucket are compared whole, by counting shared shingles, and only links leave the comparison. What a comparison within a
-component could add is nothing, so no link between components is lost, and no list of all pairs is ever made.
+Groups are joined without all their pairs: documents with equal sets form a class with one representative. Each
+representative is first compared with one other, the leader (smallest member) that it shares most buckets with, and links
+are contracted into components. Then, and only for buckets that still span several components, blocks of representatives
+that share such a bucket are compared whole, by counting shared shingles, and each comparison puts out no more than a
+spanning forest of the components it has seen, so what is put out grows with the components and not with their pairs.
+Links within a component add nothing; none between components is lost but by the index.
 
 Defined results: words are runs of bytes other than space and tab to carriage return, after A-Z are lower-cased; a text
 of fewer words than a shingle takes is one shingle; null, empty and blank texts have an empty set and are linked with
-nothing; rows repeated belong to one class; rows with a null doc_id take no part (component_id null, kept true); an empty
-table gives an empty result; other columns play no part.
+nothing; rows repeated belong to one class; rows of one doc_id with different texts are one document, which reaches what
+any of its texts reaches; rows with a null doc_id take no part (component_id null, kept true); an empty table gives an
+empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -29,18 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, text_or_empty
+from chronoloom.llm.common import free_name, materialize, text_or_empty
 from chronoloom.operators.arrow_groups import runs
 from chronoloom.operators.graph import connected_components
 
 CHUNKS, CHUNK_SYMBOLS = 12, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: A pair at similarity 0.8 differs in more symbols than this with a probability of about 3e-5.
-MOST_DIFFERENT = 29
-#: Representatives that one task compares with as many others at once.
-BLOCK = 1024
-#: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Representatives, and shingles of theirs, that one task compares with as many others at once.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Rows of at most 32 bytes up to which a list of documents is broadcast rather than joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(6)
 _FACTORS = _RNG.integers(0, 1 << 32, SYMBOLS, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -124,7 +124,7 @@ def _spans(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """key and rep, for every key of every representative."""
+    """key and rep, for every key of every representative: the index, 72 narrow rows each."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,186 +137,179 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(keys, "key long, rep long")
 
 
-def _close(pairs: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and signatures allow the similarity."""
+def _shingle_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words_each: int) -> DataFrame:
+    """rep and the whole set (binary, ascending 64-bit shingles) of every class that shares a bucket."""
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-                near = (x != y).sum(1) <= MOST_DIFFERENT
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+            for a, b in _spans(batch.column(1), 1_000_000):
+                sets = [shingle_set(t.as_py(), words_each).tobytes() for t in batch.column(1)[a:b]]
+                own = [xxhash.xxh3_128_digest(s) == k.as_py() for s, k in zip(sets, batch.column(2)[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], names=["rep", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    one, two = (reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in ("a", "b"))
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * per_cent
-    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "s_a", "s_b").mapInArrow(close, "a long, b long")
+    wanted = materialize(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key", F.col("first_id").alias("doc_id")), "wanted")
+    n = wanted.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    held = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("rep", "text", "set_key")
+    found = materialize(held.mapInArrow(measure, "rep long, shingles binary"), "shingle-sets")
+    return found if found.count() == n else materialize(found.dropDuplicates(["rep"]), "distinct-sets")  # rows repeated with their id
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words_each: int, per_cent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity; pairs is a written table."""
-    ids = materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    held = materialize(texts.join(wanted, "_id", "left_semi"), "pair-texts")
+def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, np.empty(0, np.uint64)
         for batch in batches:
             linked = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, one = a, shingle_set(x.as_py(), words_each)
-                two = shingle_set(y.as_py(), words_each)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if 100 * min(len(one), len(two)) < per_cent * max(len(one), len(two)):
+                    linked.append(False)
+                    continue
                 both = np.sort(np.concatenate([one, two]))
                 shared = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * shared >= per_cent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    one, two = (held.select(F.col("_id").alias(c), F.col("text").alias(f"t_{c}")) for c in ("a", "b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long")
+    one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b").mapInArrow(confirm, "a long, b long")
+
+
+def _best_leads(members: DataFrame) -> DataFrame:
+    """b, a representative, and a: of the smallest members of its buckets the one that it shares most buckets with."""
+    shared = members.where("rep != lead").repartition("rep").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy(F.col("rep").alias("b")).agg(F.max(F.struct("n", (-F.col("lead")).alias("m")))["m"].alias("m")).select((-F.col("m")).alias("a"), "b")
+
 
+def _one_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id that comes with several texts."""
+    key = F.xxhash64("set_key")
+    ids = full.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc_id")
+    owners = full.join(materialize(ids, "ids-of-several-texts"), "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
+    owners = materialize(owners, "classes-of-ids")
+    return owners.join(owners.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
 
-def _blocks(mixed: DataFrame) -> DataFrame:
-    """rep and block of every representative in buckets (key, rep, lead) that span components.
 
-    Representatives that share their smallest leader lie together, in as many blocks as their number takes, so the pairs
-    of blocks that share a bucket are few.
+def _blocks(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, component, block and only of every representative in buckets that span components.
+
+    Representatives that share their smallest leader lie together, in as many blocks as their number and sets take, so the
+    pairs of blocks that share a bucket are few. A component with many of them has blocks of its own; only names it then.
     """
-    near = mixed.groupBy("rep").agg(F.min("lead").alias("near"))
-    sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = near.join(sizes, "near")
-    return dealt.select("rep", F.xxhash64("near", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    near = mixed.groupBy("rep", "component").agg(F.min("lead").alias("near")).join(classes.select("rep", "n_shingles"), "rep")
+    sizes = near.groupBy("near", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.withColumn("only", F.when(F.col("n") * 2 >= BLOCK, F.col("component")).otherwise(-1))
+    parts = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("w") / BLOCK_SHINGLES)).cast("int")
+    pools = sizes.groupBy("near", "only").agg(parts.alias("parts"))
+    groups = materialize(sizes.select("near", "component", "only").join(pools, ["near", "only"]), "block-groups")
+    block = F.xxhash64("near", "only", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    return near.join(groups, ["near", "component"]).select("rep", "component", block.alias("block"), "only")
 
 
 def _block_pairs(mixed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """i and j (i <= j) of every two blocks that share a bucket."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            new = set()
-            for held in batch.column(0).to_pylist():
-                held.sort()
-                new.update((x, y) for k, x in enumerate(held) for y in held[k:])
-            new -= seen
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen |= new
-            if new:
-                i, j = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["i", "j"])
-
-    spans = mixed.join(blocks, "rep").groupBy("key").agg(F.collect_set("block").alias("held")).select("held").distinct()
-    return spans.mapInArrow(pairs, "i long, j long").distinct()
-
-
-def _short_sets(reps: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
-    """rep and the low 32 bits of its shingles (binary): a set that can only overstate what two sets share."""
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words_each).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+    """i and j (i <= j) of every two blocks that share a bucket and are not of one component alone.
 
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
-    return texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(short, "rep long, shingles binary")
+    What is gathered for a bucket is the list of its blocks, not of its members.
+    """
+    held = F.collect_set(F.struct("block", "only")).alias("held")
+    lists = mixed.select("key", "rep").join(blocks, "rep").groupBy("key").agg(held).select(F.sort_array("held").alias("held")).distinct()
+    firsts = lists.select(F.explode("held").alias("x"), "held")
+    partners = F.filter("held", lambda y: (y["block"] >= F.col("x.block")) & ((F.col("x.only") == -1) | (y["only"] != F.col("x.only"))))
+    return firsts.select(F.col("x.block").alias("i"), F.explode(partners).alias("y")).select("i", F.col("y.block").alias("j")).distinct()
 
 
 def _across(block_pairs: DataFrame, held: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of different components, block against block, that share enough by their short sets.
+    """Links (a, b) between components, block against block: for each pair of blocks the edges of a spanning forest.
 
-    held has block, rep, component, n_shingles and shingles. Only pairs that pass are put out. For each member of the one
-    block, the postings of its shingles in the other count what it shares with every member there.
+    held has block, rep, component and shingles. For each member of the one block, the postings of its shingles in the
+    other count what it shares with every member there, on whole sets. A link between components that earlier links of
+    the two blocks already hold together says nothing new and is not put out.
     """
-    rows = held.select("block", "rep", "component", "n_shingles", "shingles")
-    sides = [
-        block_pairs.join(rows.withColumnRenamed("block", side), side).select("i", "j", F.lit(side == "i").alias("left"), "rep", "component", "n_shingles", "shingles")
-        for side in ("i", "j")
-    ]
+    rows = held.select("block", "component", "shingles")
+    sides = [block_pairs.join(rows.withColumnRenamed("block", side), side).select("i", "j", F.lit(side == "i").alias("left"), "component", "shingles") for side in ("i", "j")]
     dealt = sides[0].union(sides[1].where("i <> j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in runs(batches, 2):
-            left = cols[2].to_numpy(zero_copy_only=False)
-            rep, component, size = (cols[k].to_numpy() for k in (3, 4, 5))
-            sets = [np.frombuffer(x, np.uint32) for x in cols[6].to_pylist()]
-            xs = np.flatnonzero(left)
-            ys = np.flatnonzero(~left) if not left.all() else xs
-            if len(np.unique(component[np.union1d(xs, ys)])) == 1:
-                continue
-            owner = np.repeat(np.arange(len(ys)), [len(sets[y]) for y in ys])
-            flat = np.concatenate([sets[y] for y in ys])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            out = []
-            for x in xs:
-                low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
-                n = high - low
-                some = n > 0
-                if not some.any():
-                    continue
-                first, n = low[some], n[some]
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(ys))
-                near = (component[ys] != component[x]) & (100 * shared >= per_cent * (size[ys] + size[x] - shared))
-                for y in ys[near]:
-                    if left.all() and rep[y] < rep[x]:
-                        continue  # the pair is met from its other member
-                    out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
-            if out:
-                a, b = zip(*out, strict=True)
+            links = list(_forest(cols[2].to_numpy(zero_copy_only=False), cols[3].to_numpy(), [np.frombuffer(x, np.uint64) for x in cols[4].to_pylist()], per_cent))
+            if links:
+                a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _forest(left: np.ndarray, component: np.ndarray, sets: list[np.ndarray], per_cent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of components that links between the left and the other members join (between all, if all are left)."""
+    names, own = np.unique(component, return_inverse=True)
+    group = np.arange(len(names))  # of each component, as joined so far
+    size = np.array([len(s) for s in sets])
+    xs = np.flatnonzero(left)
+    ys = xs if left.all() else np.flatnonzero(~left)
+    if len(names) == 1 or not len(ys):
+        return
+    flat, owner = np.concatenate([sets[y] for y in ys]), np.repeat(np.arange(len(ys)), size[ys])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for x in xs:
+        other = group[own[ys]] != group[own[x]]
+        if not other.any():
+            continue
+        low = np.searchsorted(flat, sets[x], "left")
+        n = np.searchsorted(flat, sets[x], "right") - low
+        low, n = low[n > 0], n[n > 0]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(ys))
+        for y in ys[other & (100 * shared >= per_cent * (size[ys] + size[x] - shared))]:
+            p, q = group[own[x]], group[own[y]]
+            if p != q:
+                group[group == q] = p
+                yield int(min(names[own[x]], names[own[y]])), int(max(names[own[x]], names[own[y]]))
+
+
 def near_groups(docs: DataFrame, words_each: int = 5, per_cent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     signed = materialize(signed_documents(docs, words_each), "signed")
     full = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    own = full.join(classes, [full.set_key == classes.set_key, full.doc_id == classes.rep], "left_semi")
-    reps = materialize(own.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature"), "reps")
+    equal = full.groupBy("set_key", "n_shingles", "signature").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    buckets = _keys(reps).groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(_keys(reps).join(materialize(buckets, "buckets"), "key"), "members")
-    stars = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = materialize(_close(stars, reps, per_cent), "star-pairs")
-    links = materialize(_confirm(tried, docs, words_each, per_cent), "star-links")
-    found = materialize(connected_components(links), "star-components")
+    buckets = _keys(classes).groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(_keys(classes).join(materialize(buckets, "buckets"), "key"), "members")
+    sets = _shingle_sets(docs, classes, members, words_each)
+    tried = materialize(_best_leads(members), "star-pairs")
+    links = materialize(_confirm(tried, sets, per_cent).union(_one_id(full, classes)), "star-links")
+    found = connected_components(links)
 
     placed = materialize(
-        members.where("n > 2")
-        .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("key", "rep", "lead", F.coalesce("component", "rep").alias("component")),
+        members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .join(tried.select(F.col("b").alias("rep"), F.col("a").alias("met")), "rep", "left")
+        .select("key", "rep", "lead", F.coalesce("component", "rep").alias("component"), ((F.col("n") == 2) & F.col("met").eqNullSafe(F.col("lead"))).alias("done")),
         "placed",
     )
-    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    mixed = materialize(placed.join(materialize(spans, "mixed-keys"), "key", "left_semi"), "mixed")
-    blocks = materialize(_blocks(mixed), "blocks")
+    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("done").alias("done")).where("x != y AND NOT done")
+    mixed = materialize(placed.join(materialize(spans.select("key"), "mixed-keys"), "key", "left_semi"), "mixed")
+    blocks = materialize(_blocks(mixed, classes), "blocks")
     block_pairs = materialize(_block_pairs(mixed, blocks), "block-pairs")
-    held = (
-        blocks.join(mixed.select("rep", "component").distinct(), "rep")
-        .join(reps.select("rep", "n_shingles"), "rep")
-        .join(_short_sets(blocks.select("rep"), docs, words_each), "rep")
-    )
-    across = materialize(_across(block_pairs, materialize(held, "short-sets"), per_cent), "cross-pairs")
-    more = materialize(_confirm(across, docs, words_each, per_cent), "cross-links")
-    whole = found if more.isEmpty() else materialize(connected_components(links.union(more)), "whole-components")
-
-    by_class = classes.join(whole, classes.rep == whole.node, "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(materialize(by_class, "class-components"), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    more = materialize(_across(block_pairs, blocks.join(sets, "rep"), per_cent), "cross-links")
+    if not more.isEmpty():
+        found = connected_components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+
+    grouped = classes.select("set_key", "rep", "first_id").join(found, F.col("rep") == F.col("node"))
+    smallest = grouped.groupBy("component").agg(F.min("first_id").alias("least"))
+    grouped = materialize(grouped.join(smallest, "component").select("set_key", "least"), "grouped-classes")
+    by_class = materialize(classes.select("set_key", "first_id").join(grouped, "set_key", "left").select("set_key", F.coalesce("least", "first_id").alias("least")), "class-components")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def drop_near_copies(docs: DataFrame, words_each: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows that stay, one of each group, with all their columns."""
+    """The rows that stay, one document of each group, with all their columns; rows of one doc_id stay or go together."""
+    name = free_name(docs, "gone_id")
     marked = near_groups(docs, words_each, per_cent)
-    gone = materialize(marked.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = materialize(marked.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
     listed = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(listed, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return left
+    return docs.join(listed, F.col("doc_id").cast("long") == F.col(name), "left_anti")
