@@ -186,3 +186,43 @@ def test_hot_bucket_of_equal_sets(frame):
     docs = frame([(i, "a b c d e f g h" + " h" * (i % 2)) for i in range(300)])
     found = near_dedup.near_groups(docs, 2).groupBy("component_id").agg(F.count("*").alias("n")).collect()
     assert [(r.component_id, r.n) for r in found] == [(0, 300)]
+
+
+@pytest.mark.parametrize(("k", "edits"), [(2, (2, 4, 6)), (5, (1, 2, 3))])
+def test_output_grows_with_a_group_and_not_with_its_pairs(frame, monkeypatch, k, edits):
+    """Doubling one group of near copies: pairs tried and links put out stay within the number of representatives."""
+    made, write = {}, near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    r, base = random.Random(k), prose(9, 60)
+    rows = [(i, edited(base, r, r.choice(edits))) for i in range(700)]
+    for n in (350, 700):
+        made.clear()
+        found = near_dedup.near_groups(frame(rows[:n]), k, 80).collect()
+        reps = made["classes"].count()
+        assert made["star-pairs"].count() <= reps and made["star-links"].count() <= reps
+        assert made["cross-links"].count() <= 2 * reps
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_groups(rows, k, 80)
+
+
+def test_one_id_with_several_texts_keeps_all_links(frame):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (5, prose(3, 60)), (5, a), (6, ""), (6, prose(4, 60)), (6, prose(4, 60))]
+    found = near_dedup.near_groups(frame(rows), 2, 80).collect()
+    assert {(x.doc_id, x.component_id) for x in found} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 6)} and len(found) == len(rows)
+    assert {x.doc_id for x in near_dedup.drop_near_copies(frame(rows), 2).collect()} == {1, 6}
+
+
+def test_loss_of_the_index_at_the_least_similarity():
+    """Of 4,000 pairs at similarity 0.80 to 0.82, those without a common key: none; the expected share is 3e-6 or less."""
+    r = np.random.default_rng(11)
+    ones, twos = [], []
+    for _ in range(4000):
+        n = int(r.integers(40, 300))
+        shared = int(np.ceil(n * r.uniform(0.802, 0.82) * 2 / (1 + 0.81)))
+        whole = r.integers(0, 1 << 63, 2 * n - shared).astype(np.uint64)
+        ones.append(np.unique(whole[:n]))
+        twos.append(np.unique(np.concatenate([whole[:shared], whole[n:]])))
+    x, y = (near_dedup.index_keys(near_dedup.signatures(s)) for s in (ones, twos))
+    similar = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(ones, twos, strict=True)]
+    missed = [s for p, q, s in zip(x, y, similar, strict=True) if s >= 0.8 and not np.isin(p, q).any()]
+    assert np.mean([0.8 <= s <= 0.83 for s in similar]) > 0.6 and not missed
