@@ -39,8 +39,9 @@ TAGS = {
 class PageWriter:
     """Writes one page and the labels of its leaves."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, invented: float = 0.0):
         self.r = random.Random(seed)
+        self.invented = invented
         self.html: list[str] = []
         self.labels: list[int] = []
 
@@ -67,7 +68,7 @@ class PageWriter:
     def open(self, role: str) -> str:
         r = self.r
         tag = r.choice(TAGS[role])
-        word = r.choice(ROLE_WORDS[role])
+        word = r.choice(ROLE_WORDS[role]) if r.random() >= self.invented else "".join(r.choices(SYLLABLES[:20], k=3))
         plain = tag not in ("div", "section", "ul", "ol") and r.random() < 0.6
         if plain:
             said = ""
@@ -173,6 +174,6 @@ class PageWriter:
         return "".join(self.html), self.labels
 
 
-def labelled_pages(n: int, seed: int = 0) -> list[tuple[str, list[int]]]:
-    """n pages, each with a label for every leaf block in page order."""
-    return [PageWriter(seed * 1_000_003 + k).page() for k in range(n)]
+def labelled_pages(n: int, seed: int = 0, invented: float = 0.0) -> list[tuple[str, list[int]]]:
+    """n pages, each with a label for every leaf block in page order; of class words the share `invented` has no meaning."""
+    return [PageWriter(seed * 1_000_003 + k, invented).page() for k in range(n)]
