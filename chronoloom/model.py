@@ -76,9 +76,11 @@ def infer_fields(records: DataFrame) -> DataFrame:
 
     Categorical fields list their distinct texts in order, with codes from 1; code 0 stands for missing.
     """
-    numeric = F.bool_and(F.col("number").isNotNull())
-    values = F.when(~numeric, F.array_sort(F.collect_set("text"))).otherwise(F.array().cast("array<string>"))
-    return records.groupBy("field").agg(F.when(numeric, "numeric").otherwise("categorical").alias("kind"), values.alias("values"))
+    kinds = records.groupBy("field").agg(F.bool_and(F.col("number").isNotNull()).alias("numeric"))
+    texts = records.where("text IS NOT NULL").select("field", "text").distinct()  # before any text is gathered
+    listed = texts.join(kinds.where("NOT numeric").select("field"), "field").groupBy("field").agg(F.array_sort(F.collect_list("text")).alias("values"))
+    kind = F.when(F.col("numeric"), "numeric").otherwise("categorical")
+    return kinds.join(listed, "field", "left").select("field", kind.alias("kind"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
 
 
 def numeric_fields(df: DataFrame, *others: str) -> list[str]:
@@ -88,11 +90,10 @@ def numeric_fields(df: DataFrame, *others: str) -> list[str]:
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value of a column with its code: 1 and up in order; missing is 0."""
-    from pyspark.sql import Window
+    from chronoloom.operators.ranks import ranked
 
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    # the distinct values of one categorical column, a few thousands at most, are ranked in one task
-    return values.select("value", F.row_number().over(Window.orderBy("value")).cast("int").alias("code"))
+    return ranked(values, "value", "code", 1).withColumn("code", F.col("code").cast("int"))
 
 
 def encode_category(column, codes: dict[str, int]):

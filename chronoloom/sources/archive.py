@@ -2,7 +2,8 @@
 
 Rows lie sorted by item and time within files, with bloom filters on the item column, so that a query for an item skips
 files, row groups and pages. A side table holds every snapshot with its number of items, empty ones too. Both are chained
-in one manifest, and reading checks it first.
+in one manifest, which has each file's ranges of item and time: a query opens the files that can hold its rows, and what
+it opens is checked first.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar
 from chronoloom.model import to_nested
-from chronoloom.sources.manifest import ArchiveError, Manifest, chain, file_digests
+from chronoloom.operators.ranks import ranked
+from chronoloom.sources.manifest import ArchiveError, IncompleteDataError, Manifest, chain, new_files
 
 SEGMENT_BYTES = 1 << 20
 
@@ -42,11 +44,8 @@ def segment_ids(snapshots: DataFrame, limit: int = SEGMENT_BYTES) -> DataFrame:
 
 
 def with_snapshot_seq(rows: DataFrame) -> DataFrame:
-    """Rows (ts, item, …) with snapshot_seq, the rank of their ts from 0."""
-    times = rows.select("ts").distinct()
-    # a number a distinct time; ranked on their own, not with the rows
-    ranked = times.withColumn("snapshot_seq", (F.row_number().over(Window.orderBy("ts")) - 1).cast("long"))
-    return rows.join(ranked, "ts").select("snapshot_seq", *rows.columns)
+    """Rows (ts, item, …) with snapshot_seq, the rank of their ts from 0; times are ranked on their own, range by range."""
+    return rows.join(ranked(rows.select("ts").distinct(), "ts", "snapshot_seq"), "ts").select("snapshot_seq", *rows.columns)
 
 
 def snapshot_table(rows: DataFrame) -> DataFrame:
@@ -65,7 +64,8 @@ class Archive:
     def append(self, rows: DataFrame, snapshots: DataFrame | None = None, level: int = 3, rows_per_file: int = 5_000_000, part: str | None = None) -> int:
         """Add a batch, chained to what is there; returns the manifest's version. snapshots adds those without items; part names the batch.
 
-        The batch is dealt by ranges of item, so an item lies in few files whatever its number of rows.
+        The batch is dealt by ranges of item, so an item lies in few files whatever its number of rows. rows should come
+        from files: the ranges are sampled from them before they are written.
         """
         if self.sealed:
             raise ArchiveError("the archive is sealed")
@@ -83,14 +83,11 @@ class Archive:
         order = [self.key, "ts", "snapshot_seq"]
         ordered = laid_out.repartitionByRange(*order).sortWithinPartitions(*order)
         ordered.write.mode("overwrite").options(**options).parquet(f"{self.path}/data/{batch}")
-        times = snapshots if snapshots is not None else snapshot_table(rows)
+        # counted from what was written, so that rows are not computed again
+        times = snapshots if snapshots is not None else snapshot_table(self.spark.read.schema(laid_out.schema).parquet(f"{self.path}/data/{batch}"))
         times.select("snapshot_seq", "ts", "n_items").sortWithinPartitions("snapshot_seq").write.mode("overwrite").options(compression="zstd").parquet(f"{self.path}/snapshots/{batch}")
-        new = []
-        for kind in ("data", "snapshots"):
-            found = file_digests(self.spark, f"{self.path}/{kind}/{batch}").orderBy("file").collect()  # a row a file
-            new += [(f"{kind}/{batch}/{r['file']}", r["bytes"], r["sha256"]) for r in found]
-        last = held[-1] if held else None
-        return self.manifest.commit(held + chain(new, *([last.root, last.seq + 1] if last else [])), version)
+        new = [f for kind, key in (("data", self.key), ("snapshots", "snapshot_seq")) for f in new_files(self.spark, self.path, f"{kind}/{batch}", key)]
+        return self.manifest.commit(chain(new, held), version)
 
     def seal(self) -> None:
         """No more rows through this handle."""
@@ -104,12 +101,24 @@ class Archive:
         schema = F.lit(rows.select(*self._fields(rows.columns)).schema.json())
         return rows.select("snapshot_seq", "ts", self.key, scalar.encrypted(payload, self.encryption_key, self.key).alias("payload"), schema.alias("payload_schema"))
 
-    def _files(self, part: str, warn_only: bool, limit_bytes: int | None) -> list[str]:
-        return [f for f in self.manifest.require(warn_only, limit_bytes) if f.startswith(f"{self.path}/{part}/")]
+    def files(self, part: str = "data", keys: list | None = None, since: int | None = None, until: int | None = None, **limits) -> list[str]:
+        """The files that can hold rows of these items within these times, checked."""
+        return self.manifest.require(only=lambda e: e.file.startswith(f"{part}/") and e.may_hold(keys, since, until), **limits)
 
-    def rows(self, warn_only: bool = False, limit_bytes: int | None = None) -> DataFrame:
-        """All item rows; a changed or missing file raises before any is read."""
-        raw = self.spark.read.parquet(*self._files("data", warn_only, limit_bytes))
+    def _read(self, files: list[str], part: str = "data") -> DataFrame:
+        if files:
+            return self.spark.read.parquet(*files)
+        entries = [e for e in self.manifest.entries() if e.file.startswith(f"{part}/")]
+        if not entries:
+            raise IncompleteDataError(f"{self.path} has no {part}")
+        return self.spark.read.parquet(f"{self.path}/{entries[0].file}").limit(0)
+
+    def rows(self, warn_only: bool = False, limit_bytes: int | None = None, keys: list | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+        """All item rows of the files that can hold these items within these times (all files, where nothing is asked).
+
+        A changed or missing file among them raises before any row is read.
+        """
+        raw = self._read(self.files("data", keys, since, until, warn_only=warn_only, limit_bytes=limit_bytes))
         if self.encryption_key is None or "payload" not in raw.columns:
             return raw
         from pyspark.sql.types import StructType
@@ -120,7 +129,7 @@ class Archive:
         return raw.select("snapshot_seq", "ts", self.key, plain.alias("_p")).select("snapshot_seq", "ts", self.key, "_p.*")
 
     def snapshots(self, warn_only: bool = False) -> DataFrame:
-        return self.spark.read.parquet(*self._files("snapshots", warn_only, None))
+        return self._read(self.files("snapshots", warn_only=warn_only), "snapshots")
 
     def nested(self) -> DataFrame:
         """Snapshots with items as maps, empty ones too."""
@@ -131,18 +140,72 @@ class Archive:
         return self.spark.read.parquet(f"{self.path}/data").drop("batch").schema
 
     def item(self, value, since: int | None = None, until: int | None = None, limit: int | None = None) -> DataFrame:
-        """An item's history; the filters reach the scan."""
-        found = self.rows().where(F.col(self.key) == value)
-        if since is not None:
-            found = found.where(F.col("ts") >= since)
-        if until is not None:
-            found = found.where(F.col("ts") <= until)
-        found = found.orderBy("ts", "snapshot_seq")
+        """An item's history; only files that can hold it are opened, and the filters reach their scan."""
+        found = self.select([value], [(since, until)]).orderBy("ts", "snapshot_seq")
         return found if limit is None else found.limit(limit)
 
+    def select(self, keys: list | None = None, times: list[tuple[int | None, int | None]] | None = None) -> DataFrame:
+        """Rows of any of these items within any of these times (since, until: both included, None: open); None asks for all."""
+        low = None if not times or any(a is None for a, _ in times) else min(a for a, _ in times)
+        high = None if not times or any(b is None for _, b in times) else max(b for _, b in times)
+        found = self.rows(keys=keys, since=low, until=high)
+        if keys is not None:
+            found = found.where(F.col(self.key).isin(*keys))
+        if times is not None:
+            within = F.lit(False)
+            for a, b in times:
+                within = within | ((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if b is None else F.col("ts") <= b))
+            found = found.where(within)
+        return found
+
+    def sparse(self, keys: list, fields: list[str], changed_only: bool = False) -> DataFrame:
+        """snapshot_seq, ts, item and the named fields of some items; with changed_only the rows in which one of the fields is new."""
+        found = self.select(keys).select("snapshot_seq", "ts", self.key, *fields)
+        if not changed_only:
+            return found
+        now = F.struct(*fields)
+        was = F.lag(now).over(Window.partitionBy(self.key).orderBy("ts", "snapshot_seq"))
+        return found.withColumn("_new", ~was.eqNullSafe(now)).where("_new").drop("_new")
+
+    def statistics(self) -> DataFrame:
+        """One row: files, bytes, batches, rows, items, snapshots, first_ts, last_ts, bytes_per_row. The formulas are ours."""
+        data = [e for e in self.manifest.entries() if e.file.startswith("data/")]
+        size = sum(e.bytes for e in data)
+        return self.rows().agg(
+            F.lit(len(data)).alias("files"), F.lit(size).cast("long").alias("bytes"), F.lit(len({e.file.split("/")[1] for e in data})).alias("batches"), F.count(F.lit(1)).alias("rows"),
+            F.approx_count_distinct(self.key).alias("items"), F.countDistinct("snapshot_seq").alias("snapshots"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        ).withColumn("bytes_per_row", F.try_divide("bytes", "rows"))
+
+    def due_for_rotation(self, now: int, max_age_ms: int | None = None, max_bytes: int | None = None, max_batches: int | None = None) -> list[str]:
+        """Batches that a retention policy lets go, oldest first: over an age (by their last row), or beyond a total size or number. The policy is ours."""
+        held: dict[str, list] = {}
+        for e in self.manifest.entries():
+            if e.file.startswith("data/"):
+                held.setdefault(e.file.split("/")[1], []).append(e)
+        oldest = sorted(held, key=lambda b: (max((e.until if e.until is not None else -1 for e in held[b]), default=-1), b))
+        due, size = [], sum(e.bytes for files in held.values() for e in files)
+        for b in oldest:
+            last = max((e.until for e in held[b] if e.until is not None), default=None)
+            old = max_age_ms is not None and last is not None and now - last > max_age_ms
+            if not (old or max_bytes is not None and size > max_bytes or max_batches is not None and len(held) - len(due) > max_batches):
+                break
+            due.append(b)
+            size -= sum(e.bytes for e in held[b])
+        return due
+
+    def drop_batches(self, batches: list[str]) -> int:
+        """A version of the manifest without these batches; files stay for readers of earlier versions until `vacuum`."""
+        version = self.manifest.version()
+        return self.manifest.commit(chain([e for e in self.manifest.entries(version) if e.file.split("/")[1] not in batches]), version)
+
+    def vacuum(self, older_ms: int = 86_400_000) -> int:
+        """Delete data files that no manifest entry names and that are older than older_ms; returns their number."""
+        return self.manifest.vacuum(older_ms)
+
     def query(self, value) -> DataFrame:
-        """The whole snapshots that hold an item, all their rows."""
-        return snapshots_with_item(self.rows(), value, self.key)
+        """The whole snapshots that hold an item, all their rows; which snapshots do is read from the item's files alone."""
+        wanted = self.rows(keys=[value]).where(F.col(self.key) == value).select("snapshot_seq").distinct()
+        return self.rows().join(wanted, "snapshot_seq", "left_semi")
 
     def verify(self) -> bool:
         return self.manifest.verify()

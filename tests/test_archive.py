@@ -105,6 +105,76 @@ def test_limits_and_concurrent_writers(spark, path):
         m.commit(m.entries(), 0)
 
 
+def test_a_writer_that_died_does_not_block_the_next(spark, path, tmp_path):
+    a = archive.Archive(spark, path)
+    a.append(spark.createDataFrame(golden(), ROWS))
+    m = a.manifest
+    m._fs.createNewFile(m._at("claim-1.0"))  # and then nothing: no version follows
+    with pytest.raises(manifest.ConcurrentWriteError):
+        m.commit(m.entries(), 0)
+    assert m.commit(m.entries(), 0, claim_ms=0) == 1 and m.version() == 1
+    a.append(spark.createDataFrame([(99, 99, 5, 1.0, 1.0)], ROWS))
+    assert a.verify() and a.rows().count() == len(golden()) + 1
+
+
+def test_a_late_writer_whose_claim_was_void_fails(spark, path, monkeypatch):
+    a = archive.Archive(spark, path)
+    a.append(spark.createDataFrame(golden(), ROWS))
+    m, other = a.manifest, manifest.Manifest(spark, path)
+    entries, real, calls = m.entries(), m.version, []
+
+    def slow():  # another writer takes the claim over while this one is about to write
+        if not calls:
+            calls.append(other.commit(entries[:1], 0, claim_ms=0))
+        return 0
+
+    monkeypatch.setattr(m, "version", slow)
+    with pytest.raises(manifest.ConcurrentWriteError):
+        m.commit(entries, 0)
+    monkeypatch.setattr(m, "version", real)
+    assert m.version() == 1 and len(m.entries()) == 1
+
+
+def test_queries_open_only_files_that_can_hold_their_rows(spark, path, tmp_path):
+    a = archive.Archive(spark, path)
+    for first in (0, 1000):  # two batches of other items and times
+        rows = [(first + t, first + t, first + i, 1.0 * t, 1.0) for t in range(3) for i in range(400)]
+        a.append(spark.createDataFrame(rows, ROWS).repartition(4), rows_per_file=300)
+    files = a.files()
+    some = a.files(keys=[7])
+    assert len(files) >= 8 and len(some) <= 2 and a.files(keys=[5000]) == [] and set(a.files(since=900)) == {f for f in files if "batch=1" in f}
+    (tmp_path / some[0].split("archive/")[1]).exists()
+    for f in set(files) - set(a.files(keys=[1007])):
+        os.remove(f.split("://")[-1] if "://" in f else f[5:])
+    assert a.item(1007).count() == 3 and a.item(5000).isEmpty()  # the other files are not even missed
+    with pytest.raises(manifest.IncompleteDataError):
+        a.rows()
+
+
+def test_several_items_and_times_sparse_and_statistics(spark, path):
+    a = archive.Archive(spark, path)
+    a.append(spark.createDataFrame(golden(), ROWS))
+    base = 1_700_000_000
+    found = a.select([3, 10], [(None, base + 3600 * 6), (base + 3600 * 40, None)])
+    want = [r for r in golden() if r[2] in (3, 10) and (r[1] <= base + 3600 * 6 or r[1] >= base + 3600 * 40)]
+    assert sorted(map(tuple, found.select("snapshot_seq", "ts", "item_id", "price", "quantity").collect())) == sorted(want)
+    assert a.sparse([2, 3], ["quantity"]).columns == ["snapshot_seq", "ts", "item_id", "quantity"] and a.sparse([1, 3], ["price"], True).count() == 48 + 1
+    (s,) = a.statistics().collect()
+    assert (s.rows, s.snapshots, s.first_ts, s.batches) == (116, 48, base, 1) and s.bytes_per_row > 0
+
+
+def test_retention(spark, path):
+    a = archive.Archive(spark, path)
+    for k in range(3):
+        a.append(spark.createDataFrame([(k, 100 * k, 1, 1.0, 1.0)], ROWS))
+    assert a.due_for_rotation(now=1000) == [] and a.due_for_rotation(now=250, max_age_ms=100) == ["batch=0", "batch=1"]
+    assert a.due_for_rotation(now=0, max_batches=2) == ["batch=0"] and a.due_for_rotation(now=0, max_bytes=0) == ["batch=0", "batch=1", "batch=2"]
+    early = a.rows()
+    a.drop_batches(["batch=0"])
+    assert a.rows().count() == 2 and early.count() == 3 and a.verify()  # a reader that holds the earlier version goes on
+    assert a.vacuum(older_ms=0) >= 1 and a.rows().count() == 2
+
+
 def test_encryption(spark, path):
     key = scalar.derive_key("secret", b"salt", 1000)
     a = archive.Archive(spark, path, encryption_key=key)
