@@ -7,53 +7,86 @@ pos (from 0, without gaps) and v (whole numbers for codec sizes, any number for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar
-from chronoloom.operators.arrow_groups import runs
+from chronoloom.operators.ranks import ranked
 
 BLOCK_SIZE = 1000
 PRESETS = {"balanced": (3, 1000), "max_ratio": (9, 4000), "low_latency": (1, 512)}
 
 
-def _order(by: str = "stream") -> Window:
-    return Window.partitionBy(by).orderBy("pos")
+#: Consecutive values of a stream that one task takes as a whole; a stream is cut into as many ranges as it needs.
+SPAN = 1 << 17
 
 
-def delta(streams: DataFrame) -> DataFrame:
+def _spanned(streams: DataFrame, span: int, before: int = 0) -> DataFrame:
+    """streams with the range `_s` of each row; the last `before` rows of a range stand in the next one too, as not `_own`."""
+    at = F.floor(F.col("pos") / span)
+    if not before:
+        return streams.withColumn("_s", at)
+    both = F.when(F.pmod("pos", F.lit(span)) >= span - before, F.array(at, at + 1)).otherwise(F.array(at))
+    return streams.withColumn("_s", F.explode(both)).withColumn("_own", F.col("_s") == at)
+
+
+def _within(back: int | None = None) -> Window:
+    w = Window.partitionBy("stream", "_s").orderBy("pos")
+    return w if back is None else w.rowsBetween(Window.unboundedPreceding, back)
+
+
+def delta(streams: DataFrame, span: int = SPAN) -> DataFrame:
     """d: the change from the value before; the first value's is the value itself."""
-    return streams.withColumn("d", F.col("v") - F.coalesce(F.lag("v").over(_order()), F.lit(0)))
+    rows = _spanned(streams, span, 1).withColumn("d", F.col("v") - F.coalesce(F.lag("v").over(_within()), F.lit(0)))
+    return rows.where("_own").drop("_s", "_own")
 
 
-def delta_of_delta(streams: DataFrame) -> DataFrame:
+def delta_of_delta(streams: DataFrame, span: int = SPAN) -> DataFrame:
     """d and dd: the change of d; for the first value both are the value, for the second dd is its change against that."""
-    return delta(streams).withColumn("dd", F.col("d") - F.coalesce(F.lag("d").over(_order()), F.lit(0)))
+    rows = _spanned(streams, span, 2).withColumn("d", F.col("v") - F.coalesce(F.lag("v").over(_within()), F.lit(0)))
+    return rows.withColumn("dd", F.col("d") - F.coalesce(F.lag("d").over(_within()), F.lit(0))).where("_own").drop("_s", "_own")
+
 
+def _earlier(column: Column) -> Column:
+    """The sum of a column over a stream's earlier ranges."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy("stream").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-def undo_delta(rows: DataFrame, column: str = "d") -> DataFrame:
-    """v again, as the running sum of d."""
-    upto = _order().rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("v", F.sum(column).over(upto))
 
+def undo_delta(rows: DataFrame, column: str = "d", span: int = SPAN) -> DataFrame:
+    """v again, as the running sum of d: within a range, and over the ranges before it."""
+    cut = _spanned(rows, span)
+    carried = cut.groupBy("stream", "_s").agg(F.sum(column).alias("_t")).select("stream", "_s", _earlier(F.col("_t")).alias("_c"))
+    return cut.withColumn("v", F.sum(column).over(_within(0))).join(carried, ["stream", "_s"]).withColumn("v", F.col("v") + F.col("_c")).drop("_s", "_c")
 
-def undo_delta_of_delta(rows: DataFrame) -> DataFrame:
-    upto = _order().rowsBetween(Window.unboundedPreceding, 0)
-    return undo_delta(rows.withColumn("d", F.sum("dd").over(upto)))
 
+def undo_delta_of_delta(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """d and v again. A range that starts from d = D and v = V adds D to each of its d, and V and D for each place to its v."""
+    cut = _spanned(rows, span)
+    place = F.pmod("pos", F.lit(span))
+    sums = cut.groupBy("stream", "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("dd").alias("_a"), F.sum(F.col("dd") * place).alias("_b"))
+    sums = sums.withColumn("_d", _earlier(F.col("_a")))  # d before the range
+    gained = F.col("_d") * F.col("_n") + F.col("_a") * F.col("_n") - F.col("_b")
+    carried = sums.select("stream", "_s", "_d", _earlier(gained).alias("_v"))
+    local = cut.withColumn("d", F.sum("dd").over(_within(0))).withColumn("v", F.sum("d").over(_within(0)))
+    whole = local.join(carried, ["stream", "_s"])
+    return whole.withColumn("v", F.col("v") + F.col("_v") + F.col("_d") * (place + 1)).withColumn("d", F.col("d") + F.col("_d")).drop("_s", "_d", "_v")
 
-def run_lengths(streams: DataFrame, most: int = 255) -> DataFrame:
-    """Runs of equal values, cut at `most`: stream, start, length, v."""
-    upto = _order().rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.when(F.col("v").eqNullSafe(F.lag("v").over(_order())) & (F.lag("pos").over(_order()).isNotNull()), 0).otherwise(1)
-    runs_ = streams.withColumn("_t", turn).withColumn("run", F.sum("_t").over(upto))
-    first = F.min("pos").over(Window.partitionBy("stream", "run"))
-    cut = runs_.withColumn("_c", F.floor((F.col("pos") - first) / most))
-    return cut.groupBy("stream", "run", "_c").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"), F.first("v").alias("v")).select("stream", "start", "length", "v")
+
+def run_lengths(streams: DataFrame, most: int = 255, span: int = SPAN) -> DataFrame:
+    """Runs of equal values, cut at `most`: stream, start, length, v. A run may reach over many ranges."""
+    rows = _spanned(streams, span, 1)
+    same = F.col("v").eqNullSafe(F.lag("v").over(_within())) & F.lag("pos").over(_within()).isNotNull()
+    marked = rows.withColumn("_t", F.when(~same, F.col("pos"))).where("_own")
+    starts = marked.groupBy("stream", "_s").agg(F.max("_t").alias("_last"))
+    earlier = Window.partitionBy("stream").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    open_run = starts.select("stream", "_s", F.last("_last", ignorenulls=True).over(earlier).alias("_open"))  # the run that a range begins in
+    first = F.coalesce(F.max("_t").over(_within(0)), F.col("_open"))
+    cut = marked.join(open_run, ["stream", "_s"]).withColumn("_f", first).withColumn("_c", F.floor((F.col("pos") - F.col("_f")) / most))
+    return cut.groupBy("stream", "_f", "_c").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"), F.first("v").alias("v")).select("stream", "start", "length", "v")
 
 
 def undo_run_lengths(runs_: DataFrame) -> DataFrame:
@@ -67,15 +100,7 @@ def dictionary(keys: DataFrame, column: str) -> DataFrame:
 
     Ranks are made within ranges of the keys and shifted by what lies in earlier ranges, so no task sorts all keys.
     """
-    distinct = keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct().repartitionByRange("key")
-    placed = distinct.withColumn("part", F.spark_partition_id())
-    from chronoloom.sources.workspace import materialize
-
-    held = materialize(placed, "dictionary-keys")
-    sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
-    before = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
-    return held.withColumn("_r", rank).join(before.select("part", "first"), "part").select("key", (F.col("first") + F.col("_r")).alias("id"))
+    return ranked(keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct(), "key", "id")
 
 
 def with_blocks(streams: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -166,15 +191,23 @@ def codec_choice(sizes: DataFrame, candidates: list[str]) -> DataFrame:
 def dictionary_sizes(streams: DataFrame, column: str = "d", block_size: int = BLOCK_SIZE, entries: int = 256) -> DataFrame:
     """Bytes under the dictionary codec: a ring of recent values, shared by a stream's blocks in order.
 
-    Each value depends on the ring that earlier ones left, so a stream is one pass over its sorted rows.
+    Each value depends on the ring that earlier ones left, so a stream is one pass over its sorted rows; what is carried
+    from batch to batch is the ring.
     """
 
+    kept = pa.schema([("stream", pa.string()), ("block", pa.int64()), ("dict", pa.int64())])
+
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches, 1):
-            ring: list[int | None] = [None] * entries
-            place: dict[int, int] = {}
-            at, totals = 0, {}
-            for block, x in zip(cols[2].to_pylist(), cols[3].to_pylist(), strict=True):
+        stream, block, held, done = None, None, 0, []
+        ring, place, at = [], {}, 0
+        for batch in batches:
+            for s, b, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if s != stream or b != block:
+                    if block is not None:
+                        done.append({"stream": stream, "block": block, "dict": held})
+                    if s != stream:
+                        ring, place, at = [None] * entries, {}, 0
+                    stream, block, held = s, b, 0
                 if x in place:
                     code = 2 * place[x] + 1
                 else:
@@ -183,15 +216,15 @@ def dictionary_sizes(streams: DataFrame, column: str = "d", block_size: int = BL
                         place.pop(ring[at], None)
                     ring[at], place[x] = x, at
                     at = (at + 1) % entries
-                totals[block] = totals.get(block, 0) + max(1, -(-(2 * code).bit_length() // 7))
-            name = cols[1][0].as_py()
-            rows = {"stream": [name] * len(totals), "block": list(totals), "dict": list(totals.values())}
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("stream", pa.string()), ("block", pa.int64()), ("dict", pa.int64())]))
+                held += max(1, -(-(2 * code).bit_length() // 7))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=kept)
+                done = []
+        if block is not None:
+            yield pa.RecordBatch.from_pylist([{"stream": stream, "block": block, "dict": held}], schema=kept)
 
-    rows = with_blocks(streams, block_size).select(
-        F.xxhash64("stream").alias("h"), "stream", F.col("block").cast("long").alias("block"), F.col(column).cast("long").alias("x"), "pos"
-    )
-    return rows.repartition("h").sortWithinPartitions("h", "pos").mapInArrow(size, "stream string, block long, dict long")
+    rows = with_blocks(streams, block_size).select("stream", F.col("block").cast("long").alias("block"), F.col(column).cast("long").alias("x"), "pos")
+    return rows.repartition("stream").sortWithinPartitions("stream", "pos").select("stream", "block", "x").mapInArrow(size, "stream string, block long, dict long")
 
 
 def item_major(snapshots: DataFrame) -> DataFrame:
@@ -221,111 +254,91 @@ def telemetry(blocks: DataFrame) -> DataFrame:
 START, MID, END, QUARANTINED = 1, 2, 4, 16
 
 
-@dataclass
-class HealthMonitor:
-    """The state of one stream's health: normal, or quarantined after a block that compresses much worse than usual.
+class Trouble(NamedTuple):
+    """A stretch of blocks during which a stream is quarantined."""
 
-    Averages follow healthy blocks alone. A quarantined stream is probed at every probe_every-th block, and is healthy
-    again after enough good probes in a row.
-    """
+    segment: int
+    start_block: int
+    end_block: int | None
+    reason: str
+    min_ratio: float
+    max_unique: float
+    probes: int = 0
+    good: int = 0
+
+
+class Health(NamedTuple):
+    """What is carried from block to block: the usual ratio, its spread and the usual share of distinct values, of healthy
+    blocks alone; the blocks seen; good probes in a row; segments so far; and the open one, if the stream is quarantined."""
+
+    ratio: float = 2.0
+    spread: float = 0.5
+    unique: float = 0.5
+    seen: int = 0
+    good: int = 0
+    segments: int = 0
+    open: Trouble | None = None
+
+
+class Limits(NamedTuple):
+    """Thresholds of the state machine."""
 
     probe_every: int = 4
     needed: int = 3
     drop_sigma: float = 3.0
     recovery_sigma: float = 10.0
     alpha: float = 0.1
-    ratio: float = 2.0
-    spread: float = 0.5
-    unique: float = 0.5
-    frozen: float | None = None
-    quarantined: bool = False
-    good_probes: int = 0
-    seen: int = 0
-    segments: list[dict] = field(default_factory=list)
-    open_segment: dict | None = None
-
-    def anomaly(self, ratio: float, unique: float) -> str | None:
-        """What is wrong with a block of this ratio and share of distinct values, or None."""
-        usual = (self.frozen or self.ratio) if self.quarantined else self.ratio
-        margin = min(self.drop_sigma * self.spread, 0.9 * usual)
-        if ratio < usual - margin:
-            return "RATIO_DROP"
-        if unique > 0.5 and unique > 1.5 * self.unique and ratio < usual:
-            return "ENTROPY_BURST"
-        return None
-
-    def _recovers(self, ratio: float) -> bool:
-        return ratio >= (self.frozen or self.ratio) - self.recovery_sigma * max(self.spread, 0.1)
-
-    def route(self, unique: float, unique_delta: float, ratio: float, block: int) -> tuple[str, str | None]:
-        """The decision for a block, and its reason."""
-        if unique > 0.85 and unique_delta > 0.85:
-            return "QUARANTINE", "ENTROPY_GATE"
-        if not self.quarantined:
-            reason = self.anomaly(ratio, unique)
-            return ("QUARANTINE", reason) if reason else ("CORE", None)
-        if block % self.probe_every:
-            return "QUARANTINE", "QUARANTINE_ACTIVE"
-        if not self._recovers(ratio):
-            return "QUARANTINE", "RECOVERY_PROBE_FAIL"
-        return ("CORE", "RECOVERY_MATCH") if self.good_probes + 1 >= self.needed else ("QUARANTINE", "RECOVERY_PENDING")
-
-    def update(self, decision: str, unique: float, ratio: float, block: int) -> int:
-        """Take a decided block in; returns its flags."""
-        self.seen += 1
-        flags, core = 0, decision == "CORE"
-        if not self.quarantined and not core:
-            flags = START | QUARANTINED
-            reason = self.anomaly(ratio, unique) or "UNKNOWN"  # while the stream still counts as normal
-            self.quarantined, self.frozen, self.good_probes = True, self.ratio, 0
-            self.open_segment = {
-                "segment": len(self.segments) + 1, "start_block": block, "end_block": None, "reason": reason, "min_ratio": ratio, "max_unique": unique, "probes": 0, "good": 0,
-            }
-            self.segments.append(self.open_segment)
-        elif self.quarantined and core:
-            flags = END
-            self.quarantined, self.frozen, self.good_probes = False, None, 0
-            if self.open_segment:
-                self.open_segment["end_block"] = block
-                self.open_segment = None
-        elif self.quarantined:
-            flags = MID | QUARANTINED
-            self._probe(unique, ratio, block)
-        if core and not flags & END and unique <= 0.8:
-            self._learn(unique, ratio)
-        return flags
-
-    def _probe(self, unique: float, ratio: float, block: int) -> None:
-        held = self.open_segment
-        if block % self.probe_every == 0:
-            good = self._recovers(ratio)
-            self.good_probes = self.good_probes + 1 if good else 0
-            if held:
-                held["probes"] += 1
-                held["good"] += good
-        if held:
-            held["min_ratio"], held["max_unique"] = min(held["min_ratio"], ratio), max(held["max_unique"], unique)
-
-    def _learn(self, unique: float, ratio: float) -> None:
-        if self.seen <= 1:
-            self.ratio, self.spread, self.unique = ratio, 0.1 * ratio, unique
-            return
-        mix = lambda new, old: self.alpha * new + (1 - self.alpha) * old
-        self.spread = mix(abs(ratio - self.ratio), self.spread)
-        self.ratio, self.unique = mix(ratio, self.ratio), mix(unique, self.unique)
-
-    def report(self, last_block: int) -> list[dict]:
-        """The segments of trouble; one still open ends at the last block."""
-        return [s | {"end_block": last_block if s["end_block"] is None else s["end_block"]} for s in self.segments]
 
 
-ROUTED = "stream string, block long, decision string, reason string, flags int, ratio double"
-SEGMENTS = "stream string, segment int, start_block long, end_block long, reason string, min_ratio double, max_unique double, probes int, good int"
+def health_step(h: Health, block: int, unique: float, unique_delta: float, ratio: float, limits: Limits = Limits()) -> tuple[Health, str, str | None, int, Trouble | None]:
+    """The health after a block, its decision, reason and flags, and the segment that it ends, if it ends one.
 
+    The usual values do not move while a stream is quarantined, so they are what it must come back to. A quarantined stream
+    is probed at every probe_every-th block and is healthy again with the needed-th good probe in a row.
+    """
+    odd = None
+    if ratio < h.ratio - min(limits.drop_sigma * h.spread, 0.9 * h.ratio):
+        odd = "RATIO_DROP"
+    elif unique > 0.5 and unique > 1.5 * h.unique and ratio < h.ratio:
+        odd = "ENTROPY_BURST"
+    probed = block % limits.probe_every == 0
+    recovers = ratio >= h.ratio - limits.recovery_sigma * max(h.spread, 0.1)
+    reason = None
+    if unique > 0.85 and unique_delta > 0.85:
+        reason = "ENTROPY_GATE"
+    elif h.open is None:
+        reason = odd
+    elif not probed:
+        reason = "QUARANTINE_ACTIVE"
+    elif not recovers:
+        reason = "RECOVERY_PROBE_FAIL"
+    else:
+        reason = "RECOVERY_MATCH" if h.good + 1 >= limits.needed else "RECOVERY_PENDING"
+    core = reason in (None, "RECOVERY_MATCH")
+    h = h._replace(seen=h.seen + 1)
+
+    if not core and h.open is None:
+        begun = Trouble(h.segments + 1, block, None, odd or "UNKNOWN", ratio, unique)
+        return h._replace(open=begun, segments=begun.segment, good=0), "QUARANTINE", reason, START | QUARANTINED, None
+    if not core:
+        t = h.open._replace(min_ratio=min(h.open.min_ratio, ratio), max_unique=max(h.open.max_unique, unique))
+        if probed:
+            t = t._replace(probes=t.probes + 1, good=t.good + recovers)
+            h = h._replace(good=h.good + 1 if recovers else 0)
+        return h._replace(open=t), "QUARANTINE", reason, MID | QUARANTINED, None
+    if h.open is not None:
+        return h._replace(open=None, good=0), "CORE", reason, END, h.open._replace(end_block=block)
+    if unique <= 0.8:
+        if h.seen == 1:
+            h = h._replace(ratio=ratio, spread=0.1 * ratio, unique=unique)
+        else:
+            a = limits.alpha
+            h = h._replace(ratio=a * ratio + (1 - a) * h.ratio, spread=a * abs(ratio - h.ratio) + (1 - a) * h.spread, unique=a * unique + (1 - a) * h.unique)
+    return h, "CORE", reason, 0, None
 
-def _by_stream(blocks: DataFrame) -> DataFrame:
-    cols = ["stream", F.col("block").cast("long").alias("block"), "unique_ratio", "unique_delta_ratio", F.col("ratio").cast("double").alias("ratio")]
-    return blocks.select(F.xxhash64("stream").alias("h"), *cols).repartition("h").sortWithinPartitions("h", "block")
+
+ROUTED = "stream string, block long, decision string, reason string, flags int, ratio double"
+SEGMENTS = "stream string, segment int, start_block long, end_block long, reason string, min_ratio double, max_unique double, probes int, good int"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -333,36 +346,43 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def _watch(cols: list[pa.Array], probe_every: int) -> tuple[HealthMonitor, list[dict]]:
-    monitor, rows = HealthMonitor(probe_every), []
-    for stream, block, unique, unique_delta, ratio in zip(*(c.to_pylist() for c in cols[1:6]), strict=True):
-        decision, reason = monitor.route(unique, unique_delta, ratio, block)
-        flags = monitor.update(decision, unique, ratio, block)
-        rows.append({"stream": stream, "block": block, "decision": decision, "reason": reason, "flags": flags, "ratio": ratio})
-    return monitor, rows
+def _watched(blocks: DataFrame, limits: Limits, schema: str, keep: Callable[[str, int, float, tuple], dict | None]) -> DataFrame:
+    """Rows that keep makes of each block's step, with one stream's health carried from batch to batch; an open segment ends at a stream's last block."""
+    kept = _schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, last, health = None, None, Health()
+        for batch in batches:
+            out = []
+            for s, block, unique, unique_delta, ratio in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if s != stream:
+                    out.append(keep(stream, last, 0.0, (health, None, None, 0, health.open and health.open._replace(end_block=last))))
+                    stream, health = s, Health()
+                step = health_step(health, block, unique, unique_delta, ratio, limits)
+                health, last = step[0], block
+                out.append(keep(s, block, ratio, step))
+            if rows := [r for r in out if r is not None]:
+                yield pa.RecordBatch.from_pylist(rows, schema=kept)
+        if (end := keep(stream, last, 0.0, (health, None, None, 0, health.open and health.open._replace(end_block=last)))) is not None:
+            yield pa.RecordBatch.from_pylist([end], schema=kept)
+
+    cols = ["stream", F.col("block").cast("long").alias("block"), "unique_ratio", "unique_delta_ratio", F.col("ratio").cast("double").alias("ratio")]
+    return blocks.select(*cols).repartition("stream").sortWithinPartitions("stream", "block").mapInArrow(run, schema)
 
 
 def chm_routing(blocks: DataFrame, probe_every: int = 4) -> DataFrame:
     """Decision, reason and flags of each block (stream, block, unique_ratio, unique_delta_ratio, ratio), in block order a stream."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches, 1):
-            yield pa.RecordBatch.from_pylist(_watch(cols, probe_every)[1], schema=_schema(ROUTED))
+    def keep(stream: str, block: int, ratio: float, step: tuple) -> dict | None:
+        _, decision, reason, flags, _ = step
+        return decision and {"stream": stream, "block": block, "decision": decision, "reason": reason, "flags": flags, "ratio": ratio}
 
-    return _by_stream(blocks).mapInArrow(run, ROUTED)
+    return _watched(blocks, Limits(probe_every), ROUTED, keep)
 
 
 def chm_segments(blocks: DataFrame, probe_every: int = 4) -> DataFrame:
-    """The segments of trouble of each stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches, 1):
-            monitor, rows = _watch(cols, probe_every)
-            found = [{"stream": rows[0]["stream"]} | s for s in monitor.report(rows[-1]["block"])]
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema=_schema(SEGMENTS))
-
-    return _by_stream(blocks).mapInArrow(run, SEGMENTS)
+    """The segments of trouble of each stream; one still open ends at the last block."""
+    return _watched(blocks, Limits(probe_every), SEGMENTS, lambda stream, block, ratio, step: step[4] and {"stream": stream, **step[4]._asdict()})
 
 
 def worst_blocks(blocks: DataFrame, most: int = 10) -> DataFrame:

@@ -24,6 +24,127 @@ def test_codecs_round_trip(spark, values):
     assert back(blocks.undo_run_lengths(blocks.run_lengths(s))) == values
 
 
+def test_ranges_of_a_stream_join_without_a_seam(spark):
+    r = random.Random(3)
+    rows = [("a", i, r.choice([1, 1, 1, 5])) for i in range(101)] + [("b", i, 7) for i in range(60)] + [("c", 0, -3)]
+    s = spark.createDataFrame(rows, "stream string, pos long, v long")
+    every = lambda df: sorted(map(tuple, df.collect()))
+    for span in (4, 7, 64):
+        assert every(blocks.delta(s, span)) == every(blocks.delta(s)) and every(blocks.delta_of_delta(s, span)) == every(blocks.delta_of_delta(s))
+        assert every(blocks.undo_delta(blocks.delta(s).select("stream", "pos", "d"), span=span).select("stream", "pos", "v")) == sorted(rows)
+        assert every(blocks.undo_delta_of_delta(blocks.delta_of_delta(s).select("stream", "pos", "dd"), span).select("stream", "pos", "v")) == sorted(rows)
+        assert every(blocks.run_lengths(s, 25, span)) == every(blocks.run_lengths(s, 25))
+    assert every(blocks.run_lengths(s, 25, 7).where("stream = 'b'")) == [("b", 0, 25, 7), ("b", 25, 25, 7), ("b", 50, 10, 7)]
+
+
+def plain_dictionary(values, entries=256):
+    """Bytes of each value: a recent one by its place in the ring, another by itself, as varints that tell which."""
+    recent, at, out = {}, 0, []
+    for v in values:
+        slot = next((k for k, x in recent.items() if x == v), None)
+        code = slot * 2 + 1 if slot is not None else (v * 2 if v >= 0 else -v * 2 - 1) * 2
+        if slot is None:
+            recent[at] = v
+            at = (at + 1) % entries
+        n, code = 1, code * 2  # the varint is of the zigzag form
+        while code >= 128:
+            n, code = n + 1, code >> 7
+        out.append(n)
+    return out
+
+
+def test_dictionary_codec_query_equals_a_plain_loop(spark, sf_dir):
+    from chronoloom.plans import blocks as plans
+
+    coded = {}
+    for r in sorted(blocks.delta(plans.value_streams(spark, sf_dir)).collect(), key=lambda r: (r.stream, r.pos)):
+        coded.setdefault(r.stream, []).append(r.d)
+    want = {(s, k // 500): sum(sizes[k : k + 500]) for s, d in coded.items() for sizes in [plain_dictionary(d)] for k in range(0, len(d), 500)}
+    found = plans.dictionary_codec_sizes(spark, sf_dir).collect()
+    assert {(r.stream, r.block): r["dict"] for r in found} == want
+
+
+def plain_health(rows, every=4):
+    """Decisions and segments of one stream's blocks (block, unique, unique_delta, ratio), told block by block in plain words."""
+    usual, spread, share, seen, bad, probes_in_row = 2.0, 0.5, 0.5, 0, None, 0
+    out, segments = [], []
+    for block, unique, change, ratio in rows:
+        seen += 1
+        drop = ratio < usual - min(3 * spread, usual * 0.9)
+        burst = not drop and unique > 0.5 and unique > share * 1.5 and ratio < usual
+        name = "RATIO_DROP" if drop else "ENTROPY_BURST" if burst else None
+        back = ratio >= usual - 10 * max(spread, 0.1)
+        gate = unique > 0.85 and change > 0.85
+        if bad is None:
+            if gate or name:
+                out.append((block, "QUARANTINE", "ENTROPY_GATE" if gate else name, 17))
+                bad, probes_in_row = [len(segments) + 1, block, None, name or "UNKNOWN", ratio, unique, 0, 0], 0
+                segments.append(bad)
+            else:
+                out.append((block, "CORE", None, 0))
+                if unique <= 0.8 and seen == 1:
+                    usual, spread, share = ratio, ratio * 0.1, unique
+                elif unique <= 0.8:
+                    spread = 0.1 * abs(ratio - usual) + 0.9 * spread
+                    usual, share = 0.1 * ratio + 0.9 * usual, 0.1 * unique + 0.9 * share
+            continue
+        probe = block % every == 0
+        if not gate and probe and back and probes_in_row >= 2:
+            out.append((block, "CORE", "RECOVERY_MATCH", 4))
+            bad[2], bad, probes_in_row = block, None, 0
+            continue
+        why = "ENTROPY_GATE" if gate else "QUARANTINE_ACTIVE" if not probe else "RECOVERY_PENDING" if back else "RECOVERY_PROBE_FAIL"
+        out.append((block, "QUARANTINE", why, 18))
+        bad[4], bad[5] = min(bad[4], ratio), max(bad[5], unique)
+        if probe:
+            bad[6], bad[7] = bad[6] + 1, bad[7] + back
+            probes_in_row = probes_in_row + 1 if back else 0
+    for s in segments:
+        s[2] = rows[-1][0] if s[2] is None else s[2]
+    return out, segments
+
+
+def test_health_of_random_streams_equals_a_plain_loop(spark):
+    r, rows = random.Random(12), []
+    for s in range(12):
+        level = r.choice([1.2, 2.0, 6.0])
+        for k in range(r.choice([1, 9, 150])):
+            rows.append((f"s{s}", k, r.choice([0.1, 0.4, 0.7, 0.9]), r.choice([0.2, 0.9]), max(0.05, level * r.choice([1, 1, 1, 1.1, 0.9, 0.2]))))
+    shuffled = r.sample(rows, len(rows))
+    df = spark.createDataFrame(shuffled, "stream string, block long, unique_ratio double, unique_delta_ratio double, ratio double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # streams reach over batches
+    routed = {(x.stream, x.block): (x.decision, x.reason, x.flags) for x in blocks.chm_routing(df).collect()}
+    segments = sorted(tuple(x) for x in blocks.chm_segments(df).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, ended = {}, []
+    for s in {x[0] for x in rows}:
+        out, bad = plain_health([x[1:] for x in rows if x[0] == s])
+        want |= {(s, b): (d, why, f) for b, d, why, f in out}
+        ended += [(s, *x) for x in bad]
+    assert routed == want and segments == sorted(ended) and len(ended) > 5
+
+
+def test_health_queries_equal_a_plain_loop(spark, sf_dir):
+    from chronoloom.plans import blocks as plans
+
+    held = {}
+    for x in plans.profiled_blocks(spark, sf_dir).collect():
+        held.setdefault(x.stream, []).append((x.block, x.unique_ratio, x.unique_delta_ratio, x.ratio, 8 * x.n, x.bytes))
+    want, ended, sums = {}, [], {}
+    for s, rows in held.items():
+        rows.sort()
+        out, bad = plain_health([x[:4] for x in rows])
+        ended += [(s, *x) for x in bad]
+        for (b, d, why, f), x in zip(out, rows, strict=True):
+            want[s, b] = (d, why, f)
+            n, i, o = sums.get(d, (0, 0, 0))
+            sums[d] = (n + 1, i + x[4], o + x[5])
+    assert {(x.stream, x.block): (x.decision, x.reason, x.flags) for x in plans.chm_routing(spark, sf_dir).collect()} == want
+    assert sorted(tuple(x) for x in plans.chm_report(spark, sf_dir).collect()) == sorted(ended)
+    assert {x.decision: (x.blocks, x.input_bytes, x.output_bytes, x.ratio) for x in plans.chm_telemetry(spark, sf_dir).collect()} == {d: (n, i, o, i / o) for d, (n, i, o) in sums.items()}
+
+
 def test_runs_are_cut_at_255(spark):
     found = blocks.run_lengths(stream(spark, [4] * 600 + [5])).orderBy("start").collect()
     assert [(r.start, r.length, r.v) for r in found] == [(0, 255, 4), (255, 255, 4), (510, 90, 4), (600, 1, 5)]
@@ -59,11 +180,12 @@ def test_dictionary_codec_repeats_are_small(spark):
 
 
 def route(ratios, uniques, every=4):
-    m, out = blocks.HealthMonitor(every), []
+    h, out, ended = blocks.Health(), [], []
     for k, (ratio, unique) in enumerate(zip(ratios, uniques, strict=True)):
-        decision, reason = m.route(unique, unique, ratio, k)
-        out.append((decision, reason, m.update(decision, unique, ratio, k)))
-    return out, m
+        h, decision, reason, flags, closed = blocks.health_step(h, k, unique, unique, ratio, blocks.Limits(every))
+        out.append((decision, reason, flags))
+        ended += [closed] * (closed is not None)
+    return out, ended
 
 
 def test_entropy_gate():
@@ -81,10 +203,10 @@ def test_entropy_burst():
 
 
 def test_recovery_after_three_probes():
-    out, m = route([0.1] + [5.0] * 12, [0.2] * 13)
+    out, ended = route([0.1] + [5.0] * 12, [0.2] * 13)
     assert out[0][0] == "QUARANTINE"
     assert [out[k][1] for k in (4, 8, 12)] == ["RECOVERY_PENDING", "RECOVERY_PENDING", "RECOVERY_MATCH"]
-    assert out[12][0] == "CORE" and out[12][2] == blocks.END and m.report(12)[0]["end_block"] == 12
+    assert out[12][0] == "CORE" and out[12][2] == blocks.END and ended[0].end_block == 12
 
 
 def test_routing_follows_each_stream_in_order(spark):
