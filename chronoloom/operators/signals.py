@@ -70,8 +70,8 @@ def alerts(found: DataFrame, key: str = "item_key") -> DataFrame:
     return out
 
 
-def behavior_recommendations(behavior: DataFrame, key: str = "item_key") -> DataFrame:
-    """promote, demote and investigate by lifecycle, velocity and streak."""
+def behavior_recommendations(behavior: DataFrame, key: str = "item_key", extra: list[str] | None = None) -> DataFrame:
+    """promote, demote and investigate by lifecycle, velocity and streak; extra columns come along."""
     v, streak = F.col("velocity"), F.col("streak")
     lifecycle = F.col("lifecycle")
     rules = [
@@ -85,9 +85,9 @@ def behavior_recommendations(behavior: DataFrame, key: str = "item_key") -> Data
         F.array(*[F.when(c, F.struct(F.lit(k).alias("type"), p.cast("double").alias("confidence"), F.lit(b).alias("basis"), m.alias("message"))) for c, k, p, b, m in rules])
     )
     at = F.col("last_ts")
-    return behavior.select(key, at, F.explode(met).alias("r")).select(
+    return behavior.select(key, at, *(extra or []), F.explode(met).alias("r")).select(
         F.sha2(F.concat_ws("|", key, at.cast("string"), "r.type", "r.basis"), 256).alias("insight_id"),
-        F.col(key).alias("target"), "r.type", "r.confidence", "r.basis", "r.message", at.alias("ts"), (at + TTL_MS).alias("expires_at"),
+        F.col(key).alias("target"), "r.type", "r.confidence", "r.basis", "r.message", at.alias("ts"), (at + TTL_MS).alias("expires_at"), *(extra or []),
     )
 
 

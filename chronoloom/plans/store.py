@@ -10,7 +10,7 @@ from chronoloom.operators import blocks, confidence, store
 from chronoloom.plans.registry import WRITES_SQL, query
 from chronoloom.sources import archive
 from chronoloom.sources.tables import event_writes, lineitem_snapshots, order_writes, table
-from chronoloom.sources.workspace import work_path
+from chronoloom.sources.workspace import materialize, work_path
 
 SNAPSHOTS_SQL = """
 li AS (SELECT epoch_us(l_shipdate) // 1000 AS ts, l_partkey AS item_id, l_extendedprice AS price, l_quantity AS quantity FROM lineitem
@@ -25,7 +25,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archived(spark: SparkSession, sf_dir: str) -> archive.Archive:
     """lineitem's snapshots, written as an archive in two batches."""
-    rows = snapshots(spark, sf_dir)
+    rows = materialize(snapshots(spark, sf_dir), "snapshots")
     a = archive.Archive(spark, work_path(spark, "archive"))
     middle = 1200
     a.append(rows.where(F.col("snapshot_seq") < middle))
@@ -40,7 +40,7 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPSHOTS_SQL} SELECT snapshot_seq, ts, item_id, price, quantity FROM sn WHERE snapshot_seq IN (SELECT snapshot_seq FROM sn WHERE item_id = 7)")
 def snapshot_query_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.snapshots_with_item(snapshots(spark, sf_dir), 7).select("snapshot_seq", "ts", "item_id", "price", "quantity")
+    return archived(spark, sf_dir).query(7).select("snapshot_seq", "ts", "item_id", "price", "quantity")
 
 
 @query(f"WITH {SNAPSHOTS_SQL} SELECT ts, price, quantity FROM sn WHERE item_id = 7")
@@ -95,9 +95,48 @@ def snapshot_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.snapshot_deltas(snapshots(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {SNAPSHOTS_SQL}, f AS (SELECT count(*) AS n, count(DISTINCT snapshot_seq) AS k FROM sn)
+    SELECT 'data' AS part, true AS valid, true AS chained, n AS n_rows FROM f UNION ALL SELECT 'snapshots', true, true, k FROM f"""
+)
 def verify_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(spark, sf_dir).manifest.checks()
+    """For each part of an archive: whether every file's digest and the chain hold, and the rows that its files have."""
+    a = archived(spark, sf_dir)
+    part = F.substring_index("file", "/", 1).alias("part")
+    checked = a.manifest.checks().groupBy(part).agg(F.bool_and("valid").alias("valid"))
+    counted = a.rows().agg(F.lit("data").alias("part"), F.count(F.lit(1)).alias("n_rows")).union(a.snapshots().agg(F.lit("snapshots"), F.count(F.lit(1))))
+    return checked.withColumn("chained", F.lit(a.manifest.chain_holds(a.manifest.entries()))).join(counted, "part")
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT snapshot_seq, ts, item_id, price FROM sn WHERE item_id IN (7, 11, 400) AND (snapshot_seq < 900 OR snapshot_seq >= 1300)")
+def filtered_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several items within two ranges of time, from the files that can hold them."""
+    a = archived(spark, sf_dir)
+    edge = {r["snapshot_seq"]: r["ts"] for r in a.snapshots().where("snapshot_seq IN (899, 1300)").collect()}
+    found = a.select([7, 11, 400], [(None, edge[899]), (edge[1300], None)])
+    return found.select("snapshot_seq", "ts", "item_id", "price")
+
+
+@query(
+    f"""WITH {SNAPSHOTS_SQL}, p AS (SELECT snapshot_seq, ts, item_id, quantity, lag(quantity) OVER (PARTITION BY item_id ORDER BY ts) AS was FROM sn WHERE item_id IN (7, 11, 400))
+    SELECT snapshot_seq, ts, item_id, quantity FROM p WHERE was IS DISTINCT FROM quantity"""
+)
+def sparse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, sf_dir).sparse([7, 11, 400], ["quantity"], changed_only=True)
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT 2 AS batches, count(*) AS rows, count(DISTINCT snapshot_seq) AS snapshots, min(ts) AS first_ts, max(ts) AS last_ts FROM sn")
+def archive_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, sf_dir).statistics().select("batches", "rows", "snapshots", "first_ts", "last_ts")
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT 1 AS dropped, min(ts) AS first_ts, count(*) AS rows FROM sn WHERE snapshot_seq >= 1200")
+def file_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retention policy of one batch: the older one goes."""
+    a = archived(spark, sf_dir)
+    due = a.due_for_rotation(now=0, max_batches=1)
+    a.drop_batches(due)
+    return a.rows().agg(F.lit(len(due)).alias("dropped"), F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("rows"))
 
 
 LATEST_SQL = "SELECT o_custkey AS key, epoch_us(o_orderdate) // 1000 AS ts, o_orderkey AS seq, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority FROM orders"

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from chronoloom.functions import scalar
+from chronoloom.operators import signals
 from chronoloom.streaming import fold
 
 UPDATES = (
@@ -90,7 +92,18 @@ def behavior_events(updates: DataFrame) -> DataFrame:
     odd = updates.select("item_key", "ts", "seq", F.explode("anomalies").alias("a")).select(
         F.lit("anomaly_detected").alias("type"), "item_key", "ts", "seq", F.to_json("a").alias("detail")
     )
-    return changes.unionByName(odd)
+    return changes.unionByName(odd).unionByName(recommendation_events(updates))
+
+
+def recommendation_events(updates: DataFrame) -> DataFrame:
+    """A recommendation_new for every recommendation that a write's state gives, and for every anomaly's alert."""
+    written = updates.where("op = 'write'")
+    common = ["target", "ts", "seq", "insight_id", "type", "confidence", "basis", "message", "expires_at"]
+    found = signals.behavior_recommendations(written.withColumn("last_ts", F.col("ts")), extra=["seq"]).select(*common)
+    odd = written.select("item_key", "ts", "seq", F.explode("anomalies").alias("a")).select("item_key", "ts", "seq", "a.*").withColumn("severity", scalar.severity(F.col("z_score")))
+    found = found.unionByName(signals.alerts(odd).select(*common))
+    detail = F.to_json(F.struct("insight_id", F.col("type").alias("kind"), "confidence", "basis", "message", "expires_at"))
+    return found.select(F.lit("recommendation_new").alias("type"), F.col("target").alias("item_key"), "ts", "seq", detail.alias("detail"))
 
 
 def windowed_activity(ops: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -118,16 +131,22 @@ class Subscriptions:
     def unsubscribe(self, number: int) -> bool:
         return self._held.pop(number, None) is not None
 
-    def deliver(self, events: DataFrame, most: int = 10_000) -> None:
+    def deliver(self, events: DataFrame) -> None:
         """Call the subscribers with a micro-batch's events in order; events go to the driver one partition at a time."""
         wanted = set().union(*[t for t, _ in self._held.values()]) if self._held else set()
         if not wanted:
             return
         for row in events.where(F.col("type").isin(*wanted)).orderBy("ts", "seq", "type").toLocalIterator():
-            event = row.asDict(recursive=True)
-            for types, callback in list(self._held.values()):
-                if event["type"] in types:
-                    callback(event)
+            self.raise_event(row.asDict(recursive=True))
+
+    def raise_event(self, event: dict) -> None:
+        """Call the subscribers of one event's type."""
+        for types, callback in list(self._held.values()):
+            if event["type"] in types:
+                callback(event)
+
+    def wants(self, *types: str) -> bool:
+        return any(held & set(types) for held, _ in self._held.values())
 
 
 def run_behavior(ops: DataFrame, fields: list[str], checkpoint: str, updates_path: str, events_path: str | None = None, subscriptions: Subscriptions | None = None, available_now: bool = True):
