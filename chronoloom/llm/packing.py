@@ -23,6 +23,8 @@ from chronoloom.llm.common import materialize, text_or_empty
 from chronoloom.llm.tokens import END_ID, BpeFiles, encoder
 
 WINDOW = 1024
+#: Rows of 20 bytes up to which the counts by task and length are broadcast.
+BROADCAST_COUNTS = 1_000_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, place long"
 
 
@@ -73,16 +75,17 @@ def pack_documents(docs: DataFrame, files: BpeFiles, window: int = WINDOW, end_i
     The pieces are written once, in the shared folder; numbering joins them with a count for each task and bucket.
     """
     pieces = materialize(document_pieces(docs, files, window, end_id), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    totals = pieces.groupBy("length").count().orderBy(F.desc("length")).collect()  # as many rows as window has powers
+    held, counts = counts, counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "part", "first")
+    if held.count() <= BROADCAST_COUNTS:  # 11 rows a task at most: the pieces, ids and all, need not be shuffled then
+        counts = F.broadcast(counts)
     base, at = [], 0
-    for r in totals:
+    for r in held.groupBy("length").agg(F.sum("n").alias("n")).orderBy(F.desc("length")).collect():  # as many rows as window has powers
         base.append((r["length"], at))
-        at += r["count"]
+        at += r["n"]
     base_of = F.coalesce(*[F.when(F.col("length") == n, F.lit(b)) for n, b in base], F.lit(0)) if base else F.lit(0)
-    return pieces.join(counts.select("length", "part", "first"), ["length", "part"]).select(
+    return pieces.join(counts, ["length", "part"]).select(
         "doc_id",
         "start",
         "length",
