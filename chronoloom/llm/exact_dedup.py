@@ -7,7 +7,7 @@ would raise an error rather than merge them.
 
 Defined results: null text counts as empty, and so equals the empty text; texts are equal when identical after A-Z are
 lower-cased; of equal texts the row with the largest doc_id stays (null ids come last); of rows repeated with their id
-one stays; an empty table gives an empty result; other columns, whatever their names, play no part in the decision.
+one stays; rows of one id with different texts are documents of their own, each judged by its text; an empty table gives an empty result; other columns, whatever their names, play no part in the decision.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, text_or_empty
+from chronoloom.llm.common import free_name, materialize, text_or_empty
 
 N_SALTS = 32
 #: Ids, 8 bytes each, up to which a list of documents is broadcast rather than joined by a shuffle.
@@ -87,21 +87,22 @@ def drop_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
     and digest.
     """
     marked = materialize(mark_copies(docs, n_salts), "marked-copies")
-    several = F.col("doc_id").isNull() | (F.col("_n") > 1)
-    odd = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(several).select(F.col("doc_id").alias("__id"))
+    several = F.col("doc_id").isNull() | (F.col("n") > 1)
+    odd = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(several).select("doc_id")
     odd = materialize(odd, "odd-ids")
-    gone = marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    gone = materialize(gone, "gone-ids")
+    gone = materialize(marked.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone-ids")
+    listed, digest, other = (free_name(docs, n) for n in ("listed_id", "text_digest", "other_digest"))
     own = F.col("doc_id").cast("long")
     if odd.isEmpty():
-        return docs.join(_listed(gone), own == F.col("__id"), "left_anti")
-    plain = docs.where(own.isNotNull()).join(_listed(gone.union(odd.where("__id IS NOT NULL")).distinct()), own == F.col("__id"), "left_anti")
-    rest = docs.join(odd, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__digest", F.sha2(content_column(), 256))
-    keep = marked.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__d"))
-    match = (F.col("__digest") == F.col("__d")) & own.eqNullSafe(F.col("__id"))
-    return plain.unionByName(rest.join(keep, match, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+        return docs.join(_few(gone.toDF(listed)), own == F.col(listed), "left_anti")
+    out = gone.union(odd.where("doc_id IS NOT NULL")).distinct().toDF(listed)
+    plain = docs.where(own.isNotNull()).join(_few(out), own == F.col(listed), "left_anti")
+    rest = docs.join(odd.toDF(listed), own.eqNullSafe(F.col(listed)), "left_semi").withColumn(digest, F.sha2(content_column(), 256))
+    keep = marked.where("kept").select(F.col("doc_id").alias(listed), F.col("text_sha256").alias(other))
+    match = (F.col(digest) == F.col(other)) & own.eqNullSafe(F.col(listed))
+    return plain.unionByName(rest.join(keep, match, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest))
 
 
-def _listed(ids: DataFrame) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
     """Ids to broadcast, when they are few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, text_or_empty
+from chronoloom.llm.common import free_name, materialize, text_or_empty
 from chronoloom.llm.labelled import labelled_sample, remainder
 
 MAX_ROWS = 20_000
@@ -202,6 +202,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs whose text is predicted to be good, with all their columns."""
-    scored = with_quality(docs, fit_quality(docs, labels, max_rows), "__quality")
-    return scored.where(F.col("__quality") >= THRESHOLD).select(*docs.columns)
+    """The rows of docs whose text is predicted to be good, with all their columns, whatever these are called."""
+    column = free_name(docs, "quality_score")
+    return with_quality(docs, fit_quality(docs, labels, max_rows), column).where(F.col(column) >= THRESHOLD).drop(column)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import materialize, text_or_empty
+from chronoloom.llm.common import free_name, materialize, text_or_empty
 from chronoloom.llm.labelled import labelled_sample, remainder
 
 BITS = 20
@@ -153,6 +153,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs whose text is not predicted to be toxic, with all their columns."""
-    scored = with_toxicity(docs, fit_toxicity(docs, labels, max_rows), "__toxicity")
-    return scored.where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    """The rows of docs whose text is not predicted to be toxic, with all their columns, whatever these are called."""
+    model = fit_toxicity(docs, labels, max_rows)
+    if not len(model.at):  # without labels nothing is known of any text
+        return docs
+    column = free_name(docs, "toxicity_score")
+    return with_toxicity(docs, model, column).where(F.col(column) < THRESHOLD).drop(column)
