@@ -8,6 +8,8 @@ it opens is checked first.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,9 @@ class Archive:
         # counted from what was written, so that rows are not computed again
         times = snapshots if snapshots is not None else snapshot_table(self.spark.read.schema(laid_out.schema).parquet(f"{self.path}/data/{batch}"))
         times.select("snapshot_seq", "ts", "n_items").sortWithinPartitions("snapshot_seq").write.mode("overwrite").options(compression="zstd").parquet(f"{self.path}/snapshots/{batch}")
-        new = [f for kind, key in (("data", self.key), ("snapshots", "snapshot_seq")) for f in new_files(self.spark, self.path, f"{kind}/{batch}", key)]
+        with ThreadPoolExecutor(2) as pool:  # small jobs, side by side
+            found = pool.map(lambda x: new_files(self.spark, self.path, f"{x[0]}/{batch}", x[1]), [("data", self.key), ("snapshots", "snapshot_seq")])
+            new = [f for files in found for f in files]
         return self.manifest.commit(chain(new, held), version)
 
     def seal(self) -> None:

@@ -187,8 +187,11 @@ class Manifest:
             raise ConcurrentWriteError(taken) from e
         if self.version() >= n:
             raise ConcurrentWriteError(taken)
-        rows = [tuple(getattr(e, c.split()[0]) for c in SCHEMA.split(", ")) for e in entries]
-        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("errorifexists").json(f"{self.path}/_manifest/v={n}.{last + 1}")
+        out = self._fs.create(self._at(f"v={n}.{last + 1}", "entries.json"), False)
+        for at in range(0, len(entries), 2000):
+            out.write(bytearray("".join(json.dumps({c.split()[0]: getattr(e, c.split()[0]) for c in SCHEMA.split(", ")}) + "\n" for e in entries[at : at + 2000]).encode()))
+        out.close()
+        self._fs.create(self._at(f"v={n}.{last + 1}", "_SUCCESS"), False).close()  # whole from here on
         if max(self._found("claim-").get(n, {})) > last + 1:
             raise ConcurrentWriteError(f"{taken}: this writer's claim was void before it had finished")
         return n
