@@ -85,6 +85,57 @@ def test_sample_is_bounded_and_stable(tables):
     assert len(pick(docs)) == 50 and pick(docs) == pick(docs.repartition(7)) and not any(held(i, 4, 2) for i in pick(docs))
 
 
+def test_the_fit_equals_a_direct_ridge_solution(tables):
+    """Partition sums give the weights that one dense solution over all rows gives, and the scores that follow."""
+    docs, labels, _ = tables
+    model = quality.fit_quality(docs, labels)
+    rows = labelled.labelled_sample(docs, labels, "quality", labelled.remainder(5) != 0, quality.MAX_ROWS).collect()
+    fit, rest = [r for r in rows if r.order % 4], [r for r in rows if r.order % 4 == 0]
+    x = np.array([quality.statistics(r.text) for r in fit])
+    spread = x.std(0)
+    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0)
+    z = np.hstack([np.cos(np.clip((x - x.mean(0)) * scale, -6, 6) @ model.waves + model.phases) * np.sqrt(2 / len(model.phases)), np.ones((len(x), 1))])
+    penalty = np.full(z.shape[1], np.sqrt(0.3))
+    penalty[-1] = 1e-3
+    stacked = np.vstack([z, np.diag(penalty)])
+    want, *_ = np.linalg.lstsq(stacked, np.concatenate([[r.label for r in fit], np.zeros(len(penalty))]), rcond=None)
+    assert np.allclose(model.weights, want, atol=1e-5)
+    raw = model.raw(np.array([quality.statistics(r.text) for r in rest]))
+    knots, values = quality.isotonic(raw, np.array([float(r.label) for r in rest]))
+    assert np.allclose(knots, model.knots) and np.allclose(values, model.values)
+    (one,) = quality.score_quality(docs.where("doc_id = 11"), labels.limit(0)).collect()
+    assert one.score == pytest.approx(0.5, abs=0.01)
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The vectorised fit against the published update, one coordinate at a time, in dictionaries."""
+    import math
+
+    examples = []
+    for i in range(60):
+        text = prose(i, 12) + (" idiot fool" if i % 3 == 0 else "")
+        examples.append((np.append(np.unique(toxicity.places(text)), toxicity.BIAS), int(i % 3 == 0)))
+    z, n = {}, {}
+
+    def weight(k):
+        l1 = 0.0 if k == toxicity.BIAS else toxicity.L1
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((toxicity.BETA + math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for places, y in examples:
+            w = {k: weight(k) for k in places.tolist()}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (toxicity.TOXIC_WEIGHT if y else 1.0)
+            for k in w:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    at, found = toxicity.ftrl(examples, epochs=3)
+    assert set(at.tolist()) == set(want) and np.allclose(found, [want[k] for k in at.tolist()], atol=1e-9) and len(want) > 3
+
+
 def test_isotonic_is_the_least_squares_monotone_fit():
     r = np.random.default_rng(2)
     for _ in range(30):

@@ -26,6 +26,29 @@ def test_shards_are_even_and_gapless(frame):
     assert {r.doc_id: r.shard for r in found} == {r.doc_id: r.shard for r in sharding.shard_documents(docs.repartition(5), 24).collect()}
 
 
+def test_op1_equals_a_plain_count(spark, sf_dir):
+    """Every column of the query against zlib and a plain walk over the slots; repeated runs give the same shards."""
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    found = queries.op1_sharding(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    by = defaultdict(list)
+    slots = defaultdict(set)
+    for r in found:
+        raw = docs[r.doc_id].encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 8, zlib.crc32(raw)) and r.text_crc32 >= 0
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 24 and r.map_version == 1
+        by[r.shard].append(r)
+        slots[r.virtual_slot].add(r.shard)
+    assert all(len(s) == 1 for s in slots.values()) and len(by) == 24
+    for rows in by.values():
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    total = sum(r["size"] for r in found)
+    largest_slot = max(sum(r["size"] for r in found if r.virtual_slot == s) for s in slots)
+    assert max(sum(r["size"] for r in rows) for rows in by.values()) <= total / 24 + largest_slot  # what whole slots allow
+
+
 def test_sharding_edges(edge_docs, no_docs):
     found = sharding.shard_documents(edge_docs, 24).collect()
     assert len(found) == edge_docs.count() and all(r.law == "bytes" and r.grown_shard is None for r in found)

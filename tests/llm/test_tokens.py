@@ -1,5 +1,6 @@
 """Token files, packing and SentencePiece against the libraries themselves."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -110,7 +111,7 @@ def test_chunks_encode_like_the_library(text):
 
 
 def test_a_small_table_changes_nothing():
-    enc = pieces.ChunkEncoder(MODEL, table_chunks=4)
+    enc = pieces.ChunkEncoder(MODEL, own_chunks=4)
     for text in ("a b c d e f g", "h i j  k l", "a b h i x y z"):
         assert enc.encode(text).tolist() == SP.encode(text) and len(enc.table) <= 12
 
@@ -125,6 +126,42 @@ def test_piece_round_trip_of_edge_documents(edge_docs, no_docs):
     assert pieces.piece_round_trip(no_docs, MODEL).isEmpty()
 
 
+@pytest.mark.parametrize("most", [0, 3, 25])
+def test_the_table_has_the_commonest_chunks_and_changes_no_id(frame, most):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choices(words, [1 / (k + 1) for k in range(60)], k=40)) + r.choice(["", " once%d" % i, "  two  spaces ", " ▁mark"]) for i in range(80)]
+    counts = Counter(w for t in texts for w in t.split(" ") if w and "▁" not in w)
+    docs = frame(list(enumerate(texts)))
+    table = pieces.chunk_table(docs, MODEL, most)
+    assert len(table) <= most and all(counts[w] > 1 for w in table) and (most < 25 or len(table) >= 15)
+    if table:
+        assert min(counts[w] for w in table) > max([n for w, n in counts.items() if w not in table]) * 0.9
+    assert all(np.frombuffer(ids, np.int32).tolist() == SP.encode(w) for w, ids in table.items())
+    for x in pieces.piece_round_trip(docs, MODEL, most).collect():
+        assert x.ids == SP.encode(texts[x.doc_id], add_eos=True) and x.decoded == SP.decode(x.ids)
+
+
+def test_op7_columns_tell_where_every_id_lies(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held, sequences = {}, set()
+    for r in queries.op7_packing(spark, sf_dir).collect():
+        held.setdefault(r.doc_id, []).append(r)
+        assert r.offset == 0 and r.sequence_id not in sequences and 1 <= r.length <= 1024
+        sequences.add(r.sequence_id)
+    assert set(held) == set(texts) and sequences == set(range(len(sequences)))
+    for i, rows in held.items():
+        ids, at = ids_of(texts[i]), 0
+        rows.sort(key=lambda r: r.start)
+        n = len(ids)
+        want = [1024] * (n // 1024) + [1 << k for k in range(9, -1, -1) if n % 1024 >> k & 1]
+        assert [r.length for r in rows] == want and all(r.doc_tokens == n for r in rows)
+        for r in rows:
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == n
+
+
 def test_queries_hash_what_the_operators_return(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
