@@ -64,11 +64,30 @@ def test_edges(spark):
     assert neighbours.nearest(frame(spark, bad), F.col("vec_id") % 100 == 0).isEmpty()
 
 
-def test_blocks_of_queries_give_the_same(spark):
+@pytest.mark.parametrize("rows_each", [64, 300])
+def test_many_blocks_keep_the_recall(spark, rows_each):
     r = np.random.default_rng(2)
-    df = frame(spark, [(i, r.normal(size=8)) for i in range(600)])
-    a, b = (sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 10 == 0, query_block=n).collect())) for n in (10_000, 7))
-    assert [x[:2] for x in a] == [x[:2] for x in b] and len(a) == 600
+    centres = r.normal(size=(8, 12)) * 2
+    rows = [(i, centres[i % 8] + r.normal(size=12)) for i in range(1500)]
+    want = brute(rows, lambda i: i % 10 == 0, 10)
+    found = neighbours.nearest(frame(spark, rows), F.col("vec_id") % 10 == 0, block_rows=rows_each).collect()
+    assert len(found) == 1500 and np.mean([x.vec_id in dict(want[x.query_id]) for x in found]) >= 0.9
+    assert len({(x.query_id, x.rank) for x in found}) == len({(x.query_id, x.vec_id) for x in found}) == 1500
+
+
+def test_repeated_queries_and_a_hot_vector_over_blocks(spark):
+    rows = [(100, [1.0, 0.0])] * 3 + [(i, [1.0, 0.0]) for i in range(1, 90)] + [(i, [float(i), 1.0]) for i in range(101, 190)]
+    found = neighbours.nearest(frame(spark, rows), F.col("vec_id") % 100 == 0, k=5, block_rows=16).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x.rank, x.vec_id, x.score) for x in found] == [(100, k, k, 0.0) for k in range(1, 6)]
+
+
+def test_cells_hold_their_points():
+    r = np.random.default_rng(4)
+    points = r.normal(size=(500, 3))
+    cells = neighbours.Cells(points, 3)
+    at = cells.of(points)
+    assert np.bincount(at, minlength=8).min() > 40
+    assert all(cells.distances(p)[c] == 0 and ((cells.low[c] <= p) & (p <= cells.high[c])).all() for p, c in zip(points, at, strict=True))
 
 
 def test_many_equal_vectors(spark):
