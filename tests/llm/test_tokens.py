@@ -65,6 +65,20 @@ def test_file_random_access(tmp_path, bits):
         tokens.TokenFile(f"file://{tmp_path}/cut.bits")
 
 
+def test_every_character_of_the_fast_path_beside_every_kind():
+    """Each character that the fast path takes, before, after and between and between characters of each kind that splitting tells apart."""
+    import sys
+
+    enc = tokens.encoder(queries.byte_bpe())
+    agreed = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and not tokens.AGREED.search(c)]
+    assert len(agreed) > 20_000
+    kinds = ["a", "Z", "7", " ", "  ", "\n", "\t", "'", "'s", "'ll", ".", "é", "ж", "日", "€", "_"]
+    texts = [f"{c}{k}{c}{k}y" for c in agreed for k in kinds]
+    assert not any(tokens.AGREED.search(t) for t in texts[:1000])
+    slow = [e.ids for e in BPE.encode_batch(texts, add_special_tokens=False)]
+    assert slow == enc.fast.encode_ordinary_batch(texts, num_threads=4)
+
+
 def test_token_files_of_edge_documents(spark, edge_docs, no_docs):
     found = tokens.token_round_trip(edge_docs, queries.byte_bpe()).orderBy("start").collect()
     order = [r.doc_id for r in found]
