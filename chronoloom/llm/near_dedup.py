@@ -39,8 +39,8 @@ CHUNKS, CHUNK_SYMBOLS = 12, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Representatives, and shingles of theirs, that one task compares with as many others at once.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Rows of at most 32 bytes up to which a list of documents is broadcast rather than joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows, 160 bytes each in memory, up to which a list of documents is broadcast rather than joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 _RNG = np.random.default_rng(6)
 _FACTORS = _RNG.integers(0, 1 << 32, SYMBOLS, np.uint64).astype(np.uint32) | np.uint32(1)

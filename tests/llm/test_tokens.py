@@ -66,7 +66,7 @@ def test_file_random_access(tmp_path, bits):
 
 
 def test_every_character_of_the_fast_path_beside_every_kind():
-    """Each character that the fast path takes, before, after and between and between characters of each kind that splitting tells apart."""
+    """Each character that the fast path takes, before, after and between characters of each kind that splitting tells apart."""
     import sys
 
     enc = tokens.encoder(queries.byte_bpe())
