@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import behavior, persistence, signals
@@ -82,10 +82,20 @@ def item_lifecycle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _behavior(spark, sf_dir, AS_OF).select("item_key", "lifecycle")
 
 
-@query(BEHAVIOR_SQL + f"SELECT item_key, last_ts, write_count FROM b WHERE {LIFECYCLE_SQL} = 'stable' AND last_ts >= {AS_OF - 90 * 86_400_000}")
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with the place that their order gives them, as a report numbers its lines."""
+    marked = rows.withColumn("_m", F.monotonically_increasing_id())
+    return marked.withColumn("place", F.row_number().over(Window.orderBy("_m"))).drop("_m")
+
+
+@query(
+    BEHAVIOR_SQL
+    + f"""SELECT item_key, last_ts, write_count, CAST(row_number() OVER (ORDER BY last_ts DESC, item_key) AS INT) AS place FROM b
+      WHERE {LIFECYCLE_SQL} = 'stable' AND last_ts >= {AS_OF - 90 * 86_400_000}"""
+)
 def insights_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = behavior.insights(_behavior(spark, sf_dir), lifecycle_is="stable", since=AS_OF - 90 * 86_400_000)
-    return found.select("item_key", "last_ts", "write_count")
+    return _placed(found.select("item_key", "last_ts", "write_count"))
 
 
 @query(BEHAVIOR_SQL + f"SELECT '_insight/behavior/' || item_key AS key, write_count, round(velocity, 4) AS velocity, {LIFECYCLE_SQL} AS lifecycle FROM b")

@@ -151,6 +151,48 @@ def file_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.rows().agg(F.lit(len(due)).alias("dropped"), F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("rows"))
 
 
+STATS_SQL = f"""WITH {SNAPSHOTS_SQL}, s AS (SELECT item_id, min_by(price, ts) AS first, max_by(price, ts) AS last FROM sn GROUP BY item_id),
+g AS (SELECT item_id, round((last - first) * 100 / abs(first), 6) AS trend_percent FROM s)"""
+
+
+@query(
+    STATS_SQL
+    + """, up AS (SELECT 'gainer' AS kind, item_id, trend_percent FROM g WHERE trend_percent > 0 ORDER BY trend_percent DESC, item_id LIMIT 10),
+      down AS (SELECT 'loser', item_id, trend_percent FROM g WHERE trend_percent < 0 ORDER BY trend_percent, item_id LIMIT 10)
+      SELECT * FROM up UNION ALL SELECT * FROM down UNION ALL SELECT 'sentiment', count(*), round(avg(sign(trend_percent)), 6) FROM g"""
+)
+def market_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten items that rise and that fall most (a report of ten by nature), and the mood: items and mean sign."""
+    stats = archive.item_stats(snapshots(spark, sf_dir)).select("item_id", F.round("trend_percent", 6).alias("trend_percent"))
+    gain, loss, mood = archive.market_movers(stats)
+    parts = [rows.select(F.lit(kind).alias("kind"), "item_id", "trend_percent") for kind, rows in (("gainer", gain), ("loser", loss))]
+    return parts[0].union(parts[1]).union(mood.select(F.lit("sentiment"), "items", F.round("sentiment", 6)))
+
+
+@query(
+    f"""WITH {SNAPSHOTS_SQL}, p AS (SELECT item_id, CASE WHEN price <> lag(price) OVER (PARTITION BY item_id ORDER BY ts) THEN 1.0 WHEN lag(price) OVER (PARTITION BY item_id ORDER BY ts) IS NULL THEN NULL ELSE 0.0 END AS m FROM sn),
+    a AS (SELECT item_id, coalesce(CAST(avg(m) AS DOUBLE), 0) AS score FROM p GROUP BY item_id)
+    SELECT item_id, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'hot' WHEN score < 0.2 THEN 'cold' ELSE 'warm' END AS tier FROM a"""
+)
+def activity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.activity_scores(snapshots(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT snapshot_seq, ts, string_agg(item_id, ',' ORDER BY item_id) AS items, round(sum(price), 2) AS total FROM sn GROUP BY ALL")
+def nested_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with their items as maps, in key order."""
+    total = F.aggregate(F.map_values("items"), F.lit(0.0), lambda t, x: t + x["price"])
+    return archived(spark, sf_dir).nested().select("snapshot_seq", "ts", F.array_join(F.map_keys("items").cast("array<string>"), ",").alias("items"), F.round(total, 2).alias("total"))
+
+
+@query("SELECT o_orderkey AS snapshot_seq, epoch_us(o_orderdate) // 1000 AS ts, o_totalprice AS price FROM orders WHERE o_orderpriority = '2-HIGH'")
+def history_by_string_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive whose items are texts."""
+    a = archive.Archive(spark, work_path(spark, "string-archive"), key="priority")
+    a.append(order_writes(spark, sf_dir).select(F.col("seq").alias("snapshot_seq"), "ts", "priority", "price"))
+    return a.item("2-HIGH").select("snapshot_seq", "ts", "price")
+
+
 LATEST_SQL = "SELECT o_custkey AS key, epoch_us(o_orderdate) // 1000 AS ts, o_orderkey AS seq, o_totalprice AS price, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
 NEWEST = "QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1"
 
