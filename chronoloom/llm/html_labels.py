@@ -102,6 +102,8 @@ class PageWriter:
         elif role == "form":
             self.leaf(r.choice(["div", "p", "label", "h3"]) if tag == "form" else "p", self.words(1, 8), 0)
             self.html.append('<input type="text"><button>go</button>')
+        elif r.random() < 0.3:  # text right in the element, as copyright lines and adverts are at times
+            self.leaf("", self.words(1, 20), 0, link=r.random() < 0.2)
         else:
             if r.random() < 0.3:
                 self.leaf(r.choice(["h1", "h1", "h2"] if role == "header" else ["h2", "h3", "h4"]), self.words(1, 5), 0)
