@@ -168,6 +168,21 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     )
 
 
+def _sample(rows: DataFrame, n: int, waves: np.ndarray) -> np.ndarray:
+    """The points of about SAMPLE_ROWS rows, those whose ids hash lowest by remainder; at most twice as many, 64 bytes each."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                points = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1) @ waves
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in points], pa.binary())], names=["p"])
+
+    every = max(1, n // SAMPLE_ROWS)
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).select("v").limit(2 * SAMPLE_ROWS).mapInArrow(project, "p binary")
+    found = picked.toArrow().column(0).to_pylist()
+    return np.frombuffer(b"".join(found), np.float64).reshape(len(found), -1) if found else np.zeros((1, waves.shape[1]))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
@@ -233,9 +248,7 @@ def nearest(table: DataFrame, is_query, k: int = 10, tau: float = TAU, projectio
     waves = np.random.default_rng(SEED).standard_normal((width, projections))
     point = chi_square_point(tau, projections)
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(n / block_rows)))))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).select("v").limit(2 * SAMPLE_ROWS).toArrow() if levels else None
-    sample = picked.column(0).combine_chunks().flatten().to_numpy().reshape(-1, width) @ waves if picked is not None else np.zeros((1, projections))
-    cells = Cells(sample, levels)
+    cells = Cells(_sample(rows, n, waves) if levels else np.zeros((1, projections)), levels)
 
     placed = materialize(_placed(rows, cells, waves), "placed-vectors")
     held = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2**MOST_LEVELS rows at most
