@@ -27,7 +27,7 @@ SPAN = 1 << 17
 
 def _spanned(streams: DataFrame, span: int, before: int = 0) -> DataFrame:
     """streams with the range `_s` of each row; the last `before` rows of a range stand in the next one too, as not `_own`."""
-    at = F.floor(F.col("pos") / span)
+    at = F.expr(f"pos DIV {int(span)}")
     if not before:
         return streams.withColumn("_s", at)
     both = F.when(F.pmod("pos", F.lit(span)) >= span - before, F.array(at, at + 1)).otherwise(F.array(at))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import blocks
+from chronoloom.operators.ranks import placed
 from chronoloom.plans.registry import query
 from chronoloom.sources.tables import event_writes, table
 
@@ -22,6 +23,13 @@ def value_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {STREAMS_SQL} z AS (SELECT 1) SELECT stream, pos, v FROM st")
+def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of very long streams: by ranges, so that no task numbers a whole stream."""
+    rows = event_writes(spark, sf_dir).select(F.col("event_type").alias("stream"), "ts", "seq", F.round(F.col("value") * 100).cast("long").alias("v"))
+    return placed(rows, "stream", ["ts", "seq"]).select("stream", "pos", "v")
+
+
 DELTA_SQL = f"WITH {STREAMS_SQL} de AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY stream ORDER BY pos), 0) AS d FROM st)"
 
 

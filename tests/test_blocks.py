@@ -37,6 +37,23 @@ def test_ranges_of_a_stream_join_without_a_seam(spark):
     assert every(blocks.run_lengths(s, 25, 7).where("stream = 'b'")) == [("b", 0, 25, 7), ("b", 25, 25, 7), ("b", 50, 10, 7)]
 
 
+def test_places_of_a_group_that_spans_ranges(spark):
+    from chronoloom.operators.ranks import placed, ranked
+
+    r = random.Random(8)
+    rows = [("big" if i % 5 else f"g{i}", r.random(), i) for i in range(400)] + [(None, 0.5, 1000), (None, 0.1, 1001)]
+    df = spark.createDataFrame(rows, "g string, at double, seq long").repartition(7)
+    want = {}
+    for g, at, seq in sorted(rows, key=lambda x: (x[1], x[2])):
+        want.setdefault(g, []).append(seq)
+    found = {}
+    for x in placed(df, "g", ["at", "seq"]).collect():
+        found[x.g, x.pos] = x.seq
+    assert found == {(g, k): seq for g, held in want.items() for k, seq in enumerate(held)}
+    numbers = spark.range(500).select((F.col("id") * 3).alias("v"))
+    assert sorted(map(tuple, ranked(numbers, "v", "r", 1).collect())) == [(3 * k, k + 1) for k in range(500)]
+
+
 def plain_dictionary(values, entries=256):
     """Bytes of each value: a recent one by its place in the ring, another by itself, as varints that tell which."""
     recent, at, out = {}, 0, []
